@@ -14,6 +14,25 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.summary(op.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate,)}
+def op2_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding as op
 
-ORACLES: dict[str, str] = {}
+    placed = op.shards(spark, documents(spark, sf_dir), k=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exact_dedup as op
+
+    return op.exact_groups(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op5_decontaminate, op9_exact_dedup)}
+
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents),
+o AS (SELECT doc_id, sha256(k) AS text_sha256, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM o
+""",
+}
