@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe as op
+
+    return op.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses as op
+
+    return op.summary(op.license_matches(documents(spark, sf_dir)))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate as op
 
@@ -27,7 +41,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op5_decontaminate, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op9_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
