@@ -28,6 +28,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.summary(op.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op1_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import ans as op
+
+    blocks, counts, _ = op.write_tokens(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return op.read_tokens(spark, blocks, counts).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding as op
 
@@ -41,7 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op9_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
