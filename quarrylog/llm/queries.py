@@ -44,13 +44,19 @@ def op2_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join as op
+
+    return op.near_duplicates(spark, documents(spark, sf_dir), width=3, num=90, den=100)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact_dedup as op
 
     return op.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op7_jaccard_join, op9_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
