@@ -56,7 +56,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op7_jaccard_join, op9_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup as op
+
+    return op.summary(op.remove_repeated_lines(spark, documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op7_jaccard_join, op9_exact_dedup, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
