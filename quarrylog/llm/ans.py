@@ -183,8 +183,19 @@ def decode_blocks(coded: list[bytes], table: Frequencies) -> list[np.ndarray]:
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^ \t-\r{_LETTER}{_NUMBER}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-_UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]|<\\|")
-CACHE = 400_000
+# In U+0000-U+00FF, the characters that only one of the two takes for white space.
+_DOUBTFUL = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\x85", b"\xa0")
+
+
+def plain(text: str) -> bool:
+    """Whether all of a text lies in U+0000-U+00FF without doubtful characters or marks of special tokens."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text and not any(c in raw for c in _DOUBTFUL)
+
+CACHE = 1_000_000
 
 
 class ByteTokenizer:
@@ -216,7 +227,7 @@ class ByteTokenizer:
         return found
 
     def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if not plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         get, piece = self.young.get, self.piece
         return b"".join([get(p) or piece(p) for p in _PIECES.findall(text)])

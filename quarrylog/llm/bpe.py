@@ -25,6 +25,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ans import plain
 from .common import text_slices
 
 #: Pre-tokens that a worker remembers, in two generations; pairs of tokens whose compatibility it remembers.
@@ -157,7 +158,6 @@ class DynamicBPE:
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ \t-\r{_LETTER}{_NUMBER}]+")
-_UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]")
 
 
 class WordTokenizer:
@@ -184,7 +184,7 @@ class WordTokenizer:
 
     def pieces(self, text: str) -> list[str] | None:
         """Pre-tokens of a text without added tokens; None if the library has to find them."""
-        return None if _UNUSUAL.search(text) else _PIECES.findall(text.lower())
+        return _PIECES.findall(text.lower()) if plain(text) else None
 
     def _encode_symbols(self, chars: str) -> tuple[bytes, str]:
         symbols = [*chars[:-1], chars[-1] + self.end]
