@@ -50,6 +50,15 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.near_duplicates(spark, documents(spark, sf_dir), width=3, num=90, den=100)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as op
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~op.held_out(F.col("doc_id")))
+    scored = op.scores(spark, docs, op.fit(spark, docs, labels))
+    return scored.select("doc_id", F.coalesce(op.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= op.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact_dedup as op
 
@@ -62,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.summary(op.remove_repeated_lines(spark, documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op7_jaccard_join, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op7_jaccard_join, op8_toxicity, op9_exact_dedup, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
