@@ -239,6 +239,13 @@ class ByteTokenizer:
 _tokenizers: dict[str, ByteTokenizer] = {}
 
 
+def tokenizer(path: str) -> ByteTokenizer:
+    """One for each file in the worker's life, so that what it remembers serves later tasks too."""
+    if path not in _tokenizers:
+        _tokenizers[path] = ByteTokenizer(path)
+    return _tokenizers[path]
+
+
 def _tokenize(path: str, end_id: int):
     def run(batches):
         import os
@@ -246,9 +253,7 @@ def _tokenize(path: str, end_id: int):
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _tokenizers:
-            _tokenizers[path] = ByteTokenizer(path)
-        t, end = _tokenizers[path], struct.pack("<I", end_id)
+        t, end = tokenizer(path), struct.pack("<I", end_id)
         for batch in batches:
             for part in text_slices(batch):
                 ids = [b + end for b in t.encode_batch([x or "" for x in part.column(2).to_pylist()])]
