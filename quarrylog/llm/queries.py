@@ -44,6 +44,12 @@ def op2_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup as op
+
+    return op.remove_repeats(spark, documents(spark, sf_dir), window=100, digest=True)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard_join as op
 
@@ -71,7 +77,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.summary(op.remove_repeated_lines(spark, documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op7_jaccard_join, op8_toxicity, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op6_suffix_dedup, op7_jaccard_join, op8_toxicity, op9_exact_dedup, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op9_exact_dedup": r"""
