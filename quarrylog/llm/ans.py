@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import re
 import struct
-import time
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, shuffle_partitions, text_slices
+from .common import Stage, release, shuffle_partitions, text_slices
 
 LANES = 64
 CHECK_STEPS = 256
@@ -351,7 +350,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
     ordered = tokens.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id")
     kept = stage.keep(ordered, "ids")
     del ordered
-    _release(spark)
+    release(spark)
     size = 1 << 16
     rows = kept.select("ids").mapInArrow(_count(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row an id of the vocabulary
     counts = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
@@ -362,16 +361,6 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
     return blocks, counts, stage
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files that nothing will read again, before the next ones are written."""
-    import gc
-
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def _decode(counts):
     def run(batches):
         import pyarrow as pa

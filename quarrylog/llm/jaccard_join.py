@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Stage, components, mix64, text_slices, words_of
+from .common import NONSPACE, Stage, components, mix64, release, text_slices, words_of
 
 WIDTH, NUM, DEN = 5, 8, 10
 SKETCH_BITS = 22
@@ -227,10 +227,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, nu
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stage.keep(pairs, f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = stage.keep(text.join(wanted, "doc_id").mapInArrow(_sets(width), "id long, grams binary"), f"{name}-sets")
+        # a merge join at every size: whether `wanted` fits a broadcast must not change what is moved
+        sets = stage.keep(text.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(width), "id long, grams binary"), f"{name}-sets")
+        release(spark)
         whole = pairs.join(sets.withColumnsRenamed({"id": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"id": "b", "grams": "gb"}), "b")
         out = stage.keep(whole.select("a", "b", "ga", "gb").mapInArrow(_verify(num, den), "a long, b long"), f"{name}-edges")
         stage.drop(f"{name}-sets")
+        release(spark)
         return out
 
     stars = shared.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(shared.select(F.col("doc_id"), F.col("high"))).where("a <> b").distinct()

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _MIX, SLICE_BYTES, Stage, mix64, powers, shuffle_partitions, text_bytes, text_slices
+from .common import _MIX, SLICE_BYTES, Stage, mix64, powers, release, shuffle_partitions, text_bytes, text_slices
 
 WINDOW = 100
 ANCHOR = 40
@@ -387,8 +387,6 @@ def _finish(window: int, k: int, digest: bool):
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, digest: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs, end exclusive) and kept bytes; or their digests."""
-    from .ans import _release
-
     stage = Stage(spark, "suffix")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slices = stage.keep(text.mapInArrow(_pack, SLICES), "slices")
@@ -396,11 +394,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, k
     buckets = int(max(2 * shuffle_partitions(spark), -(-total // BUCKET_BYTES)))
     posts = slices.mapInArrow(_post(window, k, buckets), "bucket int, slice long, hashes binary, places binary")
     marked = stage.keep(posts.groupBy("bucket").applyInArrow(_repeated(hot), "slice long, marked binary"), "marked")
-    _release(spark)
+    release(spark)
     strings = slices.groupBy("slice").cogroup(marked.groupBy("slice")).applyInArrow(_surroundings(window, k, buckets), "bucket int, slice long, items binary, bodies binary, n long")
     spans = stage.keep(strings.groupBy("bucket").applyInArrow(_collect(window, k), "slice long, spans binary"), "spans")
     stage.drop("marked")
-    _release(spark)
+    release(spark)
     return slices.groupBy("slice").cogroup(spans.groupBy("slice")).applyInArrow(_finish(window, k, digest), DIGEST if digest else RESULT)
 
 
