@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 # Fixed values of the algorithm: the initial words and the message permutation.
 IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
@@ -52,7 +53,12 @@ def _tree(key, data: bytes, flags: int, first: int = 0, root: bool = True):
     return _compress(key, struct.pack("<16I", *words), 0, 64, flags | PARENT | (ROOT if root else 0))
 
 
+@lru_cache(16)
+def _context_key(context: str):
+    return _tree(IV, context.encode(), CONTEXT)
+
+
+@lru_cache(65_536)
 def derive(context: str, material: bytes) -> bytes:
-    """The 32-byte derived key."""
-    key = _tree(IV, context.encode(), CONTEXT)
-    return struct.pack("<8I", *_tree(key, material, MATERIAL))
+    """The 32-byte derived key; equal faults come often, so answers are remembered."""
+    return struct.pack("<8I", *_tree(_context_key(context), material, MATERIAL))

@@ -23,16 +23,22 @@ def rtrim(c: Column) -> Column:
 
 
 def strip_newlines(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"[\r\n]+$", "")
+    return F.rtrim(raw, F.lit("\r\n"))
+
+
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once a row: a generator of one row keeps the optimizer from putting their
+    expressions into every place that uses them."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _at(parts: Column, i: int) -> Column:
     return F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
 
 
-def threadtime(line: Column) -> tuple[Column, dict[str, Column]]:
-    """Whether a line is `date time pid tid level tail`, and its fields."""
-    parts = F.split(ltrim(line), rf"{WS}+", 6)
+def threadtime(parts: Column) -> tuple[Column, dict[str, Column]]:
+    """Of a line's first five words and the rest: whether it is `date time pid tid level tail`, and its fields."""
     date, time, pid, tid, level, tail = (_at(parts, i) for i in range(6))
     ok = (tail != "") & level.isin(*LEVELS) & pid.rlike("^[0-9]+$") & tid.rlike("^[0-9]+$")
     colon = F.instr(tail, ":")
@@ -42,34 +48,44 @@ def threadtime(line: Column) -> tuple[Column, dict[str, Column]]:
     return ok, {"date": date, "time": time, "level": level, "pid": pid, "tid": tid, "tag": tag, "message": message}
 
 
-def time_format(line: Column) -> tuple[Column, dict[str, Column]]:
-    """Whether a line is `date time L/tag( pid): message`, and its fields."""
-    parts = F.split(ltrim(line), rf"{WS}+", 3)
+def time_format(parts: Column) -> tuple[Column, dict[str, Column]]:
+    """Of a line's first two words and the rest: whether it is `date time L/tag( pid): message`, and its fields."""
     date, time, rest = (_at(parts, i) for i in range(3))
     after = F.substr(rest, F.lit(3))
     opens, closes = F.instr(after, "("), F.instr(after, ")")
     ok = rest.rlike("^[VDIWEF]/") & (opens > 0) & (closes > opens)
     pid = rtrim(ltrim(F.substr(after, opens + 1, F.greatest(closes - opens - 1, F.lit(0)))))
-    message = ltrim(F.regexp_replace(F.substr(after, closes + 1), "^:+", ""))
+    message = ltrim(F.ltrim(F.substr(after, closes + 1), F.lit(":")))
     fields = {"date": date, "time": time, "level": F.substr(rest, F.lit(1), F.lit(1)), "pid": pid, "tid": F.lit(""), "tag": F.substr(after, F.lit(1), F.greatest(opens - 1, F.lit(0))), "message": message}
     return ok, fields
 
 
-def parse(lines: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds the seven fields, never null: threadtime, else time format, else the whole line as message."""
-    lines = lines.withColumn("__line", strip_newlines(F.coalesce(F.col(raw).cast("string"), F.lit(""))))
-    a_ok, a = threadtime(F.col("__line"))
-    b_ok, b = time_format(F.col("__line"))
-    lines = lines.withColumn("__kind", F.when(a_ok, 1).when(b_ok, 2).otherwise(0))
+def _split(lines: DataFrame, raw: str) -> DataFrame:
+    lines = settle(lines, {"__line": strip_newlines(F.coalesce(F.col(raw).cast("string"), F.lit("")))})
+    words = ltrim(F.col("__line"))
+    lines = settle(lines, {"__six": F.split(words, rf"{WS}+", 6), "__three": F.split(words, rf"{WS}+", 3)})
+    kind = F.when(threadtime(F.col("__six"))[0], 1).when(time_format(F.col("__three"))[0], 2).otherwise(0)
+    return settle(lines, {"__kind": kind})
+
+
+def parse(lines: DataFrame, raw: str = "raw", whole: bool = False) -> DataFrame:
+    """Adds the seven fields, never null: threadtime, else time format, else the whole line as message.
+
+    A line is split once; fields that aren't used cost nothing. whole: all fields are used, many times each.
+    """
+    lines = _split(lines, raw)
+    a, b = threadtime(F.col("__six"))[1], time_format(F.col("__three"))[1]
     kind = F.col("__kind")
     other = {f: F.lit("") for f in FIELDS} | {"message": F.col("__line")}
     fields = {f: F.when(kind == 1, a[f]).when(kind == 2, b[f]).otherwise(other[f]) for f in FIELDS}
-    return lines.withColumns(fields).drop("__line", "__kind")
+    out = settle(lines, fields) if whole else lines.withColumns(fields)
+    return out.drop("__line", "__six", "__three", "__kind")
 
 
-def line_format(raw: Column) -> Column:
-    line = strip_newlines(raw)
-    return F.when(threadtime(line)[0], "threadtime").when(time_format(line)[0], "time").otherwise("raw")
+def formats(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds `format`: threadtime, time or raw."""
+    kind = F.col("__kind")
+    return _split(lines, raw).withColumn("format", F.when(kind == 1, "threadtime").when(kind == 2, "time").otherwise("raw")).drop("__line", "__six", "__three", "__kind")
 
 
 # --------------------------------------------------------------------------- time

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylog.functions.parsing import packed_timestamp, timeline_ms
+from quarrylog.functions.parsing import packed_timestamp, settle, timeline_ms
 
 CLOCK_TOLERANCE_MS = 60_000
 CHUNK = 1 << 18
@@ -19,7 +19,7 @@ def segments(rows: DataFrame, source: str | None = None) -> DataFrame:
     chunk is joined to what the chunks before it end with and count up to.
     """
     key = [source] if source else []
-    rows = rows.withColumns({"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time")), "__part": F.floor(F.col("line_no") / CHUNK)})
+    rows = settle(rows.withColumn("__part", F.floor(F.col("line_no") / CHUNK)), {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
     inside = Window.partitionBy(*key, "__part").orderBy("line_no")
     mark = F.struct(F.col("timeline_ms").alias("ms"), F.substring("date", 1, 5).alias("day"))
     rows = rows.withColumn("__prev", F.lag(mark).over(inside))

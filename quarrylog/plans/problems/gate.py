@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylog.functions.parsing import settle
+
 # Bits of the candidate mask.
 JAVA_FATAL, JAVA_OOM, ANR, LIFECYCLE, EVENT_LOG, NATIVE_CRASH, LMK, KERNEL_OOM, CONTINUATION = (1 << k for k in range(9))
 # Tags that may carry evidence.
@@ -51,4 +53,4 @@ def candidates(tag: Column, message: Column, level: Column) -> Column:
 
 
 def classify(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("cand", candidates(F.col("tag"), F.col("message"), F.col("level")))
+    return settle(rows, {"cand": candidates(F.col("tag"), F.col("message"), F.col("level"))})

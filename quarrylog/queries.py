@@ -76,7 +76,7 @@ def parse_mixed_counts(spark, sf_dir):
     a = rendering.events_as_lines(events).where("line_no % 3 = 1")
     b = rendering.events_as_lines(events, "time").where("line_no % 3 = 2")
     c = rendering.events_as_lines(events).where("line_no % 3 = 0").select("line_no", F.concat(F.lit("--- "), "raw").alias("raw"))
-    return a.unionByName(b).unionByName(c).select(parsing.line_format(F.col("raw")).alias("format")).groupBy("format").agg(F.count("*").alias("n"))
+    return parsing.formats(a.unionByName(b).unionByName(c)).groupBy("format").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT line_no, CAST(((((month(ts) * 32 + day(ts)) * 24 + hour(ts)) * 60 + minute(ts)) * 60 + second(ts)) * 1000 + (millisecond(ts) % 1000) + 1 AS BIGINT) AS packed_ts FROM L""")
@@ -296,7 +296,7 @@ def time_segments(spark, sf_dir):
 
 
 def _problem_rows(spark, sf_dir) -> DataFrame:
-    rows = parsing.parse(rendering.events_as_problems(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    rows = parsing.parse(rendering.events_as_problems(spark.read.parquet(f"{sf_dir}/events.parquet")), whole=True)
     rows = rows.withColumns({"source_id": F.lit("events"), "raw_len": (F.octet_length("raw") + 1).cast("long"), "provenance": F.lit("unknown"), "buffer": F.lit(None).cast("string")})
     return timeline.segments(rows, "source_id")
 
@@ -307,7 +307,7 @@ _EVENTS = """E AS (SELECT CASE event_type WHEN 'error' THEN 0 ELSE 6 END AS kind
 
 @query("""SELECT CASE event_type WHEN 'error' THEN 'fatal' WHEN 'purchase' THEN 'lmk' ELSE 'none' END AS class, count(*) AS n FROM events GROUP BY 1""")
 def gate_candidates(spark, sf_dir):
-    rows = gate.classify(parsing.parse(rendering.events_as_problems(spark.read.parquet(f"{sf_dir}/events.parquet"))))
+    rows = gate.classify(parsing.parse(rendering.events_as_problems(spark.read.parquet(f"{sf_dir}/events.parquet")), whole=True))
     rows = rows.where(gate.gate(F.col("tag"), F.col("message")) | ((F.col("line_no") - 1) % 8 == 0))
     kind = F.when(F.col("cand") == gate.JAVA_FATAL, "fatal").when(F.col("cand") == gate.LMK, "lmk").when(F.col("cand") == 0, "none")
     return rows.where((F.col("line_no") - 1) % 8 == 0).groupBy(kind.alias("class")).agg(F.count("*").alias("n"))

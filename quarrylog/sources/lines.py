@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +44,6 @@ def decode(lines: DataFrame, charset: str = "UTF-8", raw: str = "raw") -> DataFr
     """Adds `text`. Bytes that are no UTF-8 become U+FFFD; other charsets go through Arrow in batches, replacing what they can't read."""
     if charset.upper() in ("UTF-8", "UTF8"):
         return lines.withColumn("text", F.make_valid_utf8(F.col(raw).cast("string")))
-    import pandas as pd
-
     @F.pandas_udf("string")
     def read(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
