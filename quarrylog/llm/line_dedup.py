@@ -106,7 +106,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int =
     stage = Stage(spark, "line-dedup")
     runs = repeated_runs(spark, docs, min_words, stage)
     by_doc = stage.keep(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")), "removed")
-    keyed = _keyed(docs).join(by_doc.withColumnsRenamed({"d": "__d", "t": "__t"}), ["__d", "__t"], "left").drop("__d", "__t")
+    # a merge join at every size: whether `removed` fits a broadcast must not change what is moved
+    keyed = _keyed(docs).join(by_doc.withColumnsRenamed({"d": "__d", "t": "__t"}).hint("merge"), ["__d", "__t"], "left").drop("__d", "__t")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("removed", lambda s: (i >= s["start"]) & (i <= s["end"])))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
