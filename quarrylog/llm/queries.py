@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .oracles import ORACLES
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +80,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ans_tokens, op2_karmarkar_karp, op3_bpe, op4_licenses, op5_decontaminate, op6_suffix_dedup, op7_jaccard_join, op8_toxicity, op9_exact_dedup, op10_line_dedup)}
 
-ORACLES: dict[str, str] = {
-    "op9_exact_dedup": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents),
-o AS (SELECT doc_id, sha256(k) AS text_sha256, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM d)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM o
-""",
-}
+__all__ = ["ORACLES", "QUERIES"]
