@@ -28,9 +28,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; a document of which nothing but blanks is left goes, n_chars follows the text."""
     out = line_dedup.remove_repeated_lines(spark, docs)
-    out = out.where(F.col("removed").isNull() | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
+    out = out.where(F.col("__removed").isNull() | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
     if "n_chars" in docs.columns:
-        changed = F.col("removed").isNotNull()
+        changed = F.col("__removed").isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 

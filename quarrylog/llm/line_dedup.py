@@ -102,22 +102,22 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later copies of repeated runs; adds `removed` (array of start, end lines, or null)."""
+    """The documents without later copies of repeated runs; adds `__removed` (array of start, end lines, or null)."""
     stage = Stage(spark, "line-dedup")
     runs = repeated_runs(spark, docs, min_words, stage)
-    by_doc = stage.keep(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")), "removed")
+    by_doc = stage.keep(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__removed")), "removed")
     # a merge join at every size: whether `removed` fits a broadcast must not change what is moved
     keyed = _keyed(docs).join(by_doc.withColumnsRenamed({"d": "__d", "t": "__t"}).hint("merge"), ["__d", "__t"], "left").drop("__d", "__t")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("removed", lambda s: (i >= s["start"]) & (i <= s["end"])))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x, i: ~F.exists("__removed", lambda s: (i >= s["start"]) & (i <= s["end"])))
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return keyed.withColumn("text", text)
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """Of what remove_repeated_lines returns: lines deleted, maximal runs, and the hash of what is left."""
-    removed = F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1), F.lit(0).cast("long"))
-    return docs.select("doc_id", removed.alias("n_removed_lines"), F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    removed = F.coalesce(F.aggregate("__removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1), F.lit(0).cast("long"))
+    return docs.select("doc_id", removed.alias("n_removed_lines"), F.coalesce(F.when(F.col("__removed").isNotNull(), F.size("__removed")), F.lit(0)).cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def brute_force(texts: dict, min_words: int) -> dict:
