@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylog.functions import parsing
+from quarrylog.functions import highlight, normalizers, parsing
 from quarrylog.operators import filters, search, sinks, timeline, views
 from quarrylog.operators.filters import FilterField, FilterSpec
 from quarrylog.plans.problems import detect, gate, groups
@@ -356,3 +356,93 @@ def problems_stats(spark, sf_dir):
 def problems_details(spark, sf_dir):
     facts = groups.details(detect.problems(_problem_rows(spark, sf_dir)))
     return facts.where("role <> 'kill issued'").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --------------------------------------------------------------------------- normalised tokens
+
+
+def _norm(name, make, text, want):
+    """make: column of tokens from a text column; text and want: the same text and its token in SQL over events."""
+
+    def run(spark, sf_dir):
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(text[0]).alias("text"))
+        return events.select("event_id", make(F.col("text")).alias("token"))
+
+    run.__name__ = name
+    query(f"WITH x AS (SELECT * FROM events) SELECT event_id, {want} AS token FROM x")(run)
+
+
+_norm(
+    "norm_java_throwable",
+    normalizers.java_throwable,
+    ["CASE event_id % 4 WHEN 0 THEN concat('Caused by: com.example.F', user_id, 'Exception: boom') WHEN 1 THEN concat('  java.lang.E', user_id, 'Error') WHEN 2 THEN concat('java.lang.String', user_id, ': x') ELSE 'Exception: x' END"],
+    "CASE event_id % 4 WHEN 0 THEN 'com.example.F' || user_id || 'Exception' WHEN 1 THEN 'java.lang.E' || user_id || 'Error' END",
+)
+_norm(
+    "norm_java_frame",
+    normalizers.java_frame,
+    ["CASE event_id % 3 WHEN 0 THEN concat('\tat com.example.W$', user_id, '.run(W.kt:', event_id, ')') WHEN 1 THEN 'at a.B.<init>(B.java)' ELSE 'at broken' END"],
+    "CASE event_id % 3 WHEN 0 THEN 'com.example.W$*#run' WHEN 1 THEN 'a.B#<init>' END",
+)
+_norm(
+    "norm_anr_reason",
+    lambda c: normalizers.anr_reason(c)["canonical"],
+    ["CASE event_id % 5 WHEN 0 THEN 'Input dispatching timed out (x)' WHEN 1 THEN concat('Broadcast of Intent { act=a.B', user_id, ' flg=1 }') WHEN 2 THEN concat('executing service p/c', user_id) WHEN 3 THEN 'ContentProvider not responding' ELSE 'Input dispatching timed outx' END"],
+    "CASE event_id % 5 WHEN 0 THEN 'input-dispatch-timeout' WHEN 1 THEN 'broadcast:a.B' || user_id WHEN 2 THEN 'service:p/c' || user_id WHEN 3 THEN 'content-provider-timeout' END",
+)
+_norm(
+    "norm_lmk_reason",
+    normalizers.lmk_reason,
+    ["CASE event_id % 5 WHEN 0 THEN 'x; reason: low watermark is breached' WHEN 1 THEN 'x; reason: psi' WHEN 2 THEN 'x; reason: lowered' WHEN 3 THEN 'x; reason: swap is low' ELSE 'none' END"],
+    "CASE event_id % 5 WHEN 0 THEN 'lmkd:low-watermark' WHEN 1 THEN 'lmkd:memory-pressure' WHEN 3 THEN 'lmkd:swap-low' END",
+)
+_norm(
+    "norm_kernel_mechanism",
+    normalizers.kernel_mechanism,
+    ["CASE event_id % 3 WHEN 0 THEN 'oom-kill:constraint=CONSTRAINT_MEMCG,x' WHEN 1 THEN 'Out of memory: Killed process 3 (a)' ELSE 'constraint=CONSTRAINT_NONEX' END"],
+    "CASE event_id % 3 WHEN 0 THEN 'memcg' WHEN 1 THEN 'global' END",
+)
+
+
+@query("WITH x AS (SELECT * FROM events) SELECT event_id, CAST(CASE WHEN event_id % 3 < 2 THEN user_id + 1 END AS INTEGER) AS pid, CASE WHEN event_id % 3 < 2 THEN 'com.example.a' END AS name, CAST(CASE WHEN event_id % 3 = 1 THEN 10000 + user_id END AS INTEGER) AS uid FROM x")
+def eventlog_parse(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.col("event_id") % 3
+    tag = F.when(kind == 0, "am_proc_died").when(kind == 1, "am_proc_start").otherwise("am_anr")
+    text = F.when(kind == 0, F.expr("concat('[0,', user_id + 1, ',com.example.a]')")).when(kind == 1, F.expr("concat('[0,', user_id + 1, ',', 10000 + user_id, ',com.example.a,activity,x/y]')")).otherwise(F.lit("[1,2]"))
+    return events.select("event_id", normalizers.event_record(tag, text).alias("r")).select("event_id", "r.pid", "r.name", "r.uid")
+
+
+@query("WITH x AS (SELECT * FROM events) SELECT event_id, CASE event_type WHEN 'error' THEN 3 ELSE 2 END AS n_tokens FROM x WHERE event_type IN ('error', 'click')")
+def highlight_tokens(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('error', 'click')")
+    text = F.when(F.col("event_type") == "error", "an error here").otherwise("here")
+    cut = highlight.highlight(text, [highlight.Rule("ERROR"), highlight.Rule("h.re", regex=True)], highlight.Rule("re"))
+    return events.select("event_id", (F.size(cut) - F.when(F.col("event_type") == "error", 2).otherwise(0)).alias("n_tokens"))
+
+
+# --------------------------------------------------------------------------- lifecycle
+
+
+def _lifecycle_rows(spark, sf_dir) -> DataFrame:
+    """Each signup is a start, a kill by the low-memory killer, a death and a start again, ten lines apart from the next."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'")
+    head = F.concat(F.date_format("ts", "MM-dd HH:mm:ss.SSS"), F.lit("  1  1 I "))
+    pid, name = (F.col("event_id") * 2 + 10).cast("string"), F.concat(F.lit("com.example.p"), F.col("event_id").cast("string"))
+    am = lambda *x: F.concat(head, F.lit("ActivityManager: "), *x)
+    start = lambda p: am(F.lit("Start proc "), p, F.lit(":"), name, F.lit("/u0a5 for service"))
+    kill = F.concat(head, F.lit("lmkd: Kill '"), name, F.lit("' ("), pid, F.lit("), uid 10005, oom_score_adj 900 to free 1kB; reason: thrashing"))
+    lines = F.array(start(pid), kill, am(F.lit("Process "), name, F.lit(" (pid "), pid, F.lit(") has died: cch")), start((F.col("event_id") * 2 + 11).cast("string")))
+    raw = events.select("event_id", F.posexplode(lines).alias("j", "raw")).select((F.col("event_id") * 10 + F.col("j") + 1).alias("line_no"), "raw")
+    rows = parsing.parse(raw, whole=True).withColumns({"source_id": F.lit("events"), "raw_len": (F.octet_length("raw") + 1).cast("long"), "provenance": F.lit("unknown"), "buffer": F.lit(None).cast("string")})
+    return timeline.segments(rows, "source_id")
+
+
+@query("WITH x AS (SELECT * FROM events WHERE event_type = 'signup') SELECT event_id * 10 + 3 AS start, event_id * 10 + 4 AS \"end\", 'com.example.p' || event_id AS process FROM x")
+def problems_restart(spark, sf_dir):
+    return detect.problems(_lifecycle_rows(spark, sf_dir)).where("kind = 4").select("start", "end", "process")
+
+
+@query("WITH x AS (SELECT * FROM events WHERE event_type = 'signup') SELECT event_id * 10 + 2 AS anchor, 6 AS outcome FROM x")
+def problems_attached_deaths(spark, sf_dir):
+    return detect.problems(_lifecycle_rows(spark, sf_dir)).where("kind = 6").select("anchor", "outcome")

@@ -111,3 +111,21 @@ def test_devices(spark):
     got = [tuple(r) for r in capture.devices(df).collect()]
     assert got == [("abc", "device", "M", "p", "3", True), ("def", "offline", None, None, None, False)]
     assert capture.select_device(capture.devices(df)) == "abc"
+
+
+def test_highlight():
+    from quarrylog.functions.highlight import Rule, tokens
+
+    cut = lambda *a, **k: [(t["text"], t["kind"], t["color"]) for t in tokens(*a, **k)]
+    assert cut("abcdef", [Rule("bcd", color="red"), Rule("de", color="blue")], Rule("C")) == [("a", "text", None), ("b", "highlight", "red"), ("c", "search", None), ("d", "highlight", "red"), ("e", "highlight", "blue"), ("f", "text", None)]
+    assert cut("a(b", [Rule("(", regex=True)]) == [("a(b", "text", None)] and cut("", []) == [("", "text", None)]
+
+
+def test_settings():
+    from quarrylog.sources import settings
+
+    s = settings.Settings(font_size=99, width=1, command="rm -rf", recent_files=("a", "", "a", *map(str, range(20))), last_filter=FilterSpec(levels=3, pid=FilterField("7", regex=True)))
+    n = s.normalized()
+    assert (n.font_size, n.width, n.command, len(n.recent_files)) == (20, 960, settings.DEFAULT_COMMAND, 10)
+    assert settings.loads(settings.dumps(n)) == n
+    assert settings.load_bookmarks(settings.bookmarks_toml([5, 0, 3, 5])) == [3, 5]
