@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylog.functions.parsing import packed_timestamp, settle, timeline_ms
@@ -15,36 +15,36 @@ def segments(rows: DataFrame, source: str | None = None) -> DataFrame:
     """Adds packed_ts, timeline_ms, segment and in_segment_ms; null on lines without a valid time.
 
     A segment begins where the line before had no valid time, the clock goes back, or the year's second
-    month is left other than by its 29th day. Lines are compared within chunks of line numbers, and each
-    chunk is joined to what the chunks before it end with and count up to.
+    month is left other than by its 29th day. Lines are compared within chunks of line numbers; one row a
+    chunk says how it begins, ends and what it counts, and tells each chunk what the ones before it leave.
     """
     key = [source] if source else []
     rows = settle(rows.withColumn("__part", F.floor(F.col("line_no") / CHUNK)), {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
     inside = Window.partitionBy(*key, "__part").orderBy("line_no")
-    mark = F.struct(F.col("timeline_ms").alias("ms"), F.substring("date", 1, 5).alias("day"))
-    rows = rows.withColumn("__prev", F.lag(mark).over(inside))
-    tail = rows.groupBy(*key, "__part").agg(F.max_by(mark, "line_no").alias("__tail"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.struct(F.col("timeline_ms").alias("ms"), F.col("date").alias("day"))
+    rows = rows.withColumn("__prev", F.lag(mark).over(inside)).withColumn("__head", F.row_number().over(inside) == 1)
+    begins = F.col("timeline_ms").isNotNull() & _parted(F.col("__prev"), mark)
+    rows = rows.withColumn("__new", ~F.col("__head") & begins)
+    rows = rows.withColumn("__count", F.sum(F.col("__new").cast("long")).over(upto)).withColumn("__start", F.last(F.when(F.col("__new"), F.col("timeline_ms")), True).over(upto))
+    chunk = rows.groupBy(*key, "__part").agg(F.min_by(mark, "line_no").alias("__first"), F.max_by(mark, "line_no").alias("__last"), F.sum(F.col("__new").cast("long")).alias("__n"), F.max_by("__start", "line_no").alias("__start_in"))
     chunks = Window.partitionBy(*key).orderBy("__part")
-    tail = tail.select(*key, "__part", F.lag("__tail").over(chunks).alias("__edge"))
-    rows = rows.join(tail, [*key, "__part"])
-    prev = F.coalesce("__prev", "__edge")
-    month = lambda d: F.substring(d, 1, 2).try_cast("int")
-    leap = (month(prev["day"]) <= 2) & (month(F.col("date")) >= 3) & (prev["day"] != "02-29")
-    begins = F.when(F.col("timeline_ms").isNull(), False).otherwise(prev.isNull() | prev["ms"].isNull() | (F.col("timeline_ms") < prev["ms"]) | leap)
-    rows = rows.withColumn("__new", begins.cast("long"))
-    sums = rows.groupBy(*key, "__part").agg(F.sum("__new").alias("__n"))
-    before = F.sum("__n").over(chunks.rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*key, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    running = F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__running", running).join(sums, [*key, "__part"])
-    rows = rows.withColumn("segment", F.when(F.col("timeline_ms").isNotNull(), F.col("__before") + F.col("__running") - 1))
-    origin = rows.where("segment is not null").groupBy(*key, F.col("segment").alias("__seg")).agg(F.min_by("timeline_ms", "line_no").alias("__origin"))
-    on = F.col("segment") == F.col("__seg")
-    if source:
-        origin = origin.withColumnRenamed(source, "__src")
-        on = on & (F.col(source) == F.col("__src"))
-    rows = rows.join(origin, on, "left").withColumn("in_segment_ms", F.col("timeline_ms") - F.col("__origin"))
-    return rows.drop("__part", "__prev", "__edge", "__new", "__running", "__before", "__seg", "__origin", "__src")
+    chunk = chunk.withColumn("__before", F.lag("__last").over(chunks))
+    chunk = chunk.withColumn("__opens", F.col("__first")["ms"].isNotNull() & _parted(F.col("__before"), F.col("__first")))
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.when(F.col("__opens"), F.col("__first")["ms"])
+    chunk = chunk.withColumns({"__base": F.coalesce(F.sum(F.col("__n") + F.col("__opens").cast("long")).over(earlier), F.lit(0)) + F.col("__opens").cast("long"), "__origin": F.coalesce(opened, F.last(F.coalesce("__start_in", opened), True).over(earlier))})
+    rows = rows.join(chunk.select(*key, "__part", "__base", "__origin"), [*key, "__part"])
+    known = F.col("timeline_ms").isNotNull()
+    rows = rows.withColumn("segment", F.when(known, F.col("__base") + F.col("__count") - 1)).withColumn("in_segment_ms", F.when(known, F.col("timeline_ms") - F.coalesce("__start", "__origin")))
+    return rows.drop("__part", "__prev", "__head", "__new", "__count", "__start", "__base", "__origin")
+
+
+def _parted(before: Column, here: Column) -> Column:
+    """Whether a line with a valid time opens a segment after the line before it (null: the source begins)."""
+    month = lambda m: F.substring(m["day"], 1, 2).try_cast("int")
+    leap = (month(before) <= 2) & (month(here) >= 3) & (before["day"] != "02-29")
+    return before.isNull() | before["ms"].isNull() | (here["ms"] < before["ms"]) | leap
 
 
 def clocks_agree(segment_a, ms_a, segment_b, ms_b):

@@ -9,7 +9,7 @@ from . import gate
 from .fold import Fold, Line
 
 HORIZON = 520
-CHUNK = 1 << 16
+CHUNK = 1 << 18
 
 EVENTS = (
     "source_id string, event_no int, kind int, start long, `end` long, anchor long, pid long, process string, quality int, fingerprint string, subject string, "
@@ -27,14 +27,16 @@ def detail(rows: DataFrame) -> DataFrame:
     """
     rows = gate.classify(rows).withColumn("__part", F.floor(F.col("line_no") / CHUNK))
     opens = F.col("cand").bitwiseAND(gate.JAVA_FATAL | gate.NATIVE_CRASH | gate.KERNEL_OOM | gate.ANR) != 0
-    rows = rows.withColumn("__open", F.when(opens, F.col("line_no")))
-    edge = rows.groupBy("source_id", "__part").agg(F.max("__open").alias("__edge")).where("__edge is not null").select("source_id", (F.col("__part") + 1).alias("__part"), "__edge")
+    dumps = F.col("tag").isin("DEBUG", "debuggerd", "") & (F.col("cand").bitwiseAND(gate.NATIVE_CRASH) != 0)
+    rows = rows.withColumn("__open", F.when(opens, F.col("line_no"))).withColumn("__dump", F.when(dumps, F.col("line_no")))
+    chunk = rows.where("__open is not null").groupBy("source_id", "__part").agg(F.max("__open").alias("__edge"), F.min("__dump").alias("__dump"), F.collect_set(F.when(dumps, F.col("pid"))).alias("__pids"))
+    whole = Window.partitionBy("source_id")
+    chunk = chunk.select("source_id", "__part", "__edge", F.min("__dump").over(whole).alias("__tomb"), F.array_distinct(F.flatten(F.collect_list("__pids").over(whole))).alias("__pids"))
+    per_source = chunk.groupBy("source_id").agg(F.first("__tomb").alias("__tomb"), F.first("__pids").alias("__pids"))
+    edge = chunk.select("source_id", (F.col("__part") + 1).alias("__part"), "__edge")
     running = F.max("__open").over(Window.partitionBy("source_id", "__part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__last", running).join(edge, ["source_id", "__part"], "left")
-    near = F.col("line_no") - F.coalesce(F.col("__last"), F.col("__edge")) <= HORIZON
-    tomb = rows.where(F.col("tag").isin("DEBUG", "debuggerd", "") & (F.col("cand").bitwiseAND(gate.NATIVE_CRASH) != 0))
-    first = tomb.groupBy("source_id").agg(F.min("line_no").alias("__tomb"), F.collect_set("pid").alias("__pids"))  # producers of dumps
-    rows = rows.join(first, "source_id", "left")
+    rows = rows.drop("__dump").withColumn("__last", running).join(edge, ["source_id", "__part"], "left").join(per_source, "source_id", "left")
+    near = F.col("line_no") - F.coalesce("__last", "__edge") <= HORIZON
     late = (F.col("line_no") > F.col("__tomb")) & ((F.col("tag") == "") | F.array_contains("__pids", F.col("pid")))
     own = F.col("cand").bitwiseAND(~gate.CONTINUATION) != 0
     return rows.where(own | F.coalesce(near, F.lit(False)) | F.coalesce(late, F.lit(False))).drop("__part", "__open", "__last", "__edge", "__tomb", "__pids")
