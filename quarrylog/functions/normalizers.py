@@ -58,9 +58,12 @@ def kernel_mechanism(c: Column) -> Column:
     return F.when(memcg, "memcg").when(every, "global")
 
 
-@F.pandas_udf("string")
-def native_frame(c: pd.Series) -> pd.Series:
-    return c.map(lambda x: None if x is None else rules.native_frame(x))
+def native_frame(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else rules.native_frame(x))
+
+    return run(c)
 
 
 def event_record(tag: Column, message: Column):
