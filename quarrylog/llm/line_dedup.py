@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, release
 
 MIN_WORDS = 40
 _KEY = ["d", "t"]
@@ -58,7 +58,11 @@ def _ranked(stage: Stage, rows: DataFrame, by: list[str], name: str) -> DataFram
     """d, t, pos, n, r: r is the place of the row's key among the sorted keys that occur twice or more."""
     keys = rows.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1").select(*by)
     order = stage.keep(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("r", F.monotonically_increasing_id()), f"order-{name}")
-    return stage.keep(rows.join(order, by).select(*_KEY, "pos", "n", "r"), f"rank-{name}")
+    ranked = stage.keep(rows.join(order, by).select(*_KEY, "pos", "n", "r"), f"rank-{name}")
+    stage.drop(f"order-{name}")
+    del keys, order
+    release(rows.sparkSession)  # a round's shuffles are of no use to the next
+    return ranked
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, stage: Stage | None = None) -> DataFrame:
@@ -77,18 +81,18 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
             whole = here.withColumn("r2", F.col("r"))
         else:
             whole = here.withColumn("at", F.col("pos") + F.col("n") - step).join(tail, [*_KEY, "at"]).drop("at")
-        named.append(whole.select(*_KEY, "pos", "n", F.col("r").alias("r1"), "r2"))
+        named.append(stage.keep(whole.select(*_KEY, "pos", "n", F.col("r").alias("r1"), "r2"), f"named-{k}"))
         k += 1
         if (1 << k) > longest:
             break
         pairs = rank.withColumn("at", F.col("pos") + step).join(tail, [*_KEY, "at"]).select(*_KEY, "pos", "n", F.col("r").alias("r1"), "r2")
         rank = _ranked(stage, pairs, ["r1", "r2"], str(k))
+        stage.drop(f"rank-{k - 1}")
     if not named:
         return spark.createDataFrame([], "d long, t long, start int, end int")
     every = named[0]
     for x in named[1:]:
         every = every.unionByName(x)
-    every = stage.keep(every, "runs")
     # one interval of the suffix array for each name; its smallest place owns the run
     name = ["n", "r1", "r2"]
     owners = every.groupBy(*name).agg(F.min(F.struct(*_KEY, "pos")).alias("owner"), F.count("*").alias("times")).where("times > 1").drop("times")
