@@ -10,9 +10,9 @@ when den * |intersection| >= num * |union|. Shingles are 64-bit hashes of word h
    changes what links, only how few candidates there are.
 2. A second pass emits each set's prefix of n - ceil(num * n / den) + 1 shingles. Copies within a task
    emit once. Two sets that link share a prefix shingle.
-3. Star round: every document of a shared shingle is paired with the smallest and the largest doc_id
-   there, so the pairs are at most twice the postings, however many near copies share it. Each
-   distinct pair of different sets is verified once.
+3. Star round: every document of a shared shingle is paired with the smallest and the largest set there
+   (ties by doc_id), under the length and positional filters, so the pairs are at most twice the
+   postings, however many near copies share it. Each distinct pair of different sets is verified once.
 4. Residual round: only shingles whose documents are still in different components give pairs, and
    only across components, under the length and positional filters. No link between different
    components is lost, and links within one are not needed to tell components.
@@ -213,7 +213,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, nu
 
     postings = text.mapInArrow(_prefixes(width, bits, num, den, sketch), "gram long, doc_id long, n int, at int")
     postings = stage.keep(postings, "postings")
-    heads = postings.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    item = F.struct("n", "doc_id", "at")
+    heads = postings.groupBy("gram").agg(F.min(item).alias("low"), F.max(item).alias("high")).where("low.doc_id <> high.doc_id")
     shared = stage.keep(postings.join(heads, "gram"), "shared")
     stage.drop("postings")
 
@@ -236,7 +237,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, nu
         release(spark)
         return out
 
-    stars = shared.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(shared.select(F.col("doc_id"), F.col("high"))).where("a <> b").distinct()
+    def fits(na, ia, nb, ib):
+        """Length and positional filters of two sets that share a shingle at these places of the global order."""
+        rest = F.least(na - ia, nb - ib)  # this shingle and all that may follow it in both
+        return (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (rest * (num + den) >= (na + nb) * num)
+
+    star = [shared.where(fits(F.col("n"), F.col("at"), F.col(f"{h}.n"), F.col(f"{h}.at"))).select(F.col("doc_id").alias("a"), F.col(f"{h}.doc_id").alias("b")) for h in ("low", "high")]
+    stars = star[0].union(star[1]).where("a <> b").distinct()
     edges = verified(paired(stars), "star")
     comp = components(spark, stage, edges, "star-components")
 
@@ -246,9 +253,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, nu
     rest = stage.keep(members.join(mixed, "gram").select("gram", "first", "component", "n", "at").distinct(), "rest")
     x = rest.select("gram", F.col("first").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
     y = rest.select("gram", F.col("first").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    length_ok = F.greatest("na", "nb") * num <= F.least("na", "nb") * den
-    place_ok = (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1) * (num + den) >= (F.col("na") + F.col("nb")) * num
-    cross = x.join(y, "gram").where(F.col("ca") < F.col("cb")).where(length_ok & place_ok)
+    cross = x.join(y, "gram").where(F.col("ca") < F.col("cb")).where(fits(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
     more = verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     comp = components(spark, stage, edges.unionByName(more), "components")
     out = known.join(comp.withColumnRenamed("id", "first"), "first", "left")
