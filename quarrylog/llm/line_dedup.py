@@ -5,16 +5,19 @@ begin at each line: the rank of 2**(k+1) lines is the place of the pair (rank of
 the next 2**k) in sorted order. Runs that occur once drop out of the next round, so rounds shrink, and
 they end at the longest run that is asked about.
 
-A run counts when it has `min_words` words. For every line that has words, the shortest such run that
-begins there has some L lines; the suffixes that agree in their first L lines are one interval of the
-suffix array whose common prefixes are L lines or longer, told by two overlapping ranks of 2**k <= L
-lines. The interval's smallest place (doc_id, then line) owns the run; in all later places its lines
-are deleted. What is deleted of a document is therefore exactly the union of its maximal repeated runs
-of `min_words` words or more that begin earlier elsewhere; overlaps count, and runs are judged on the
-input, not on what is left.
+A run counts when it has `min_words` words; it begins at a line that has words. Two kinds of windows
+tell all such runs: for every line the shortest run of `min_words` words that begins there, and the
+shortest that ends there. A window of L lines has a name: the suffixes that agree in their first L
+lines are one interval of the suffix array whose common prefixes are L lines or longer, told by two
+overlapping ranks of 2**k <= L lines. The interval's smallest place (doc_id, then line) owns the window;
+in all later places its lines are deleted. In a maximal repeated run the window that begins at its
+first line, and those that end at each line after that window, lie inside the run and cover it. What
+is deleted of a document is therefore exactly the union of its maximal repeated runs of `min_words`
+words or more that begin earlier elsewhere; overlaps count, and runs are judged on the input, not on
+what is left.
 
 Words are counted by blanks and tabs. Null text stays null, empty text stays empty; neither has runs.
-Blank lines have no words and go only with a run around them. Null doc_ids sort first. Rows with equal
+Blank lines have no words; they go inside or at the end of a run, and stay before it. Null doc_ids sort first. Rows with equal
 doc_ids are told apart by their text; wholly repeated rows are one document and are treated alike.
 Other columns are kept; n_chars, where it exists, follows the text.
 """
@@ -36,7 +39,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """d, t, pos, two hashes of the line, and n: the lines of the shortest run of min_words words that begins here."""
+    """d, t, pos, two hashes of the line, and n to m: the lines of the windows that begin here.
+
+    n is the shortest run of min_words words; the longer ones, if any, are the shortest that end where they end."""
     keyed = _keyed(docs.select("doc_id", "text")).where(F.length("text") > 0).select(F.col("__d").alias("d"), F.col("__t").alias("t"), "text")
     if keyed.groupBy(*_KEY).count().where("count > 1").limit(1).count():
         keyed = keyed.dropDuplicates(_KEY)
@@ -51,14 +56,17 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     summed = summed.withColumn("end_after", after)
     first_end = F.min(F.when(F.col("sum") >= min_words, F.col("pos"))).over(by_doc.rowsBetween(0, Window.unboundedFollowing))
     end = F.when(F.col("w") >= min_words, F.col("pos")).when(F.col("pos") == 0, first_end).otherwise(F.lag("end_after").over(by_doc))
-    return summed.withColumn("end", end).select(*_KEY, "pos", "h1", "h2", F.when(F.col("w") > 0, F.col("end") - F.col("pos") + 1).alias("n"))
+    # until the next line's own shortest run ends, or the text does, no shorter run ends there
+    ends = summed.withColumn("end", end).withColumn("last", F.coalesce(F.lead("end").over(by_doc) - 1, F.max("pos").over(Window.partitionBy(*_KEY))))
+    length = lambda to: F.when(F.col("w") > 0, F.col(to) - F.col("pos") + 1)
+    return ends.select(*_KEY, "pos", "h1", "h2", length("end").alias("n"), F.when(F.col("end").isNotNull(), F.greatest(length("end"), length("last"))).alias("m"))
 
 
 def _ranked(stage: Stage, rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """d, t, pos, n, r: r is the place of the row's key among the sorted keys that occur twice or more."""
+    """d, t, pos, n, m, r: r is the place of the row's key among the sorted keys that occur twice or more."""
     keys = rows.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1").select(*by)
     order = stage.keep(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("r", F.monotonically_increasing_id()), f"order-{name}")
-    ranked = stage.keep(rows.join(order, by).select(*_KEY, "pos", "n", "r"), f"rank-{name}")
+    ranked = stage.keep(rows.join(order, by).select(*_KEY, "pos", "n", "m", "r"), f"rank-{name}")
     stage.drop(f"order-{name}")
     del keys, order
     release(rows.sparkSession)  # a round's shuffles are of no use to the next
@@ -71,11 +79,12 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     lines = stage.keep(_lines(docs, min_words), "lines")
     rank = _ranked(stage, lines, ["h1", "h2"], "0")
     stage.drop("lines")
-    longest = rank.agg(F.max("n")).first()[0] or 0
+    longest = rank.agg(F.max("m")).first()[0] or 0
     named, k = [], 0
     while (1 << k) <= longest:
         step = 1 << k
-        here = rank.where((F.col("n") >= step) & (F.col("n") < 2 * step))
+        here = rank.where((F.col("m") >= step) & (F.col("n") < 2 * step))
+        here = here.select(*_KEY, "pos", "r", F.explode(F.sequence(F.greatest("n", F.lit(step)), F.least("m", F.lit(2 * step - 1)))).alias("n"))
         tail = rank.select(*_KEY, F.col("pos").alias("at"), F.col("r").alias("r2"))
         if k == 0:
             whole = here.withColumn("r2", F.col("r"))
@@ -85,7 +94,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
         k += 1
         if (1 << k) > longest:
             break
-        pairs = rank.withColumn("at", F.col("pos") + step).join(tail, [*_KEY, "at"]).select(*_KEY, "pos", "n", F.col("r").alias("r1"), "r2")
+        pairs = rank.withColumn("at", F.col("pos") + step).join(tail, [*_KEY, "at"]).select(*_KEY, "pos", "n", "m", F.col("r").alias("r1"), "r2")
         rank = _ranked(stage, pairs, ["r1", "r2"], str(k))
         stage.drop(f"rank-{k - 1}")
     if not named:
