@@ -308,9 +308,19 @@ _EVENTS = """E AS (SELECT CASE event_type WHEN 'error' THEN 0 ELSE 6 END AS kind
 @query("""SELECT CASE event_type WHEN 'error' THEN 'fatal' WHEN 'purchase' THEN 'lmk' ELSE 'none' END AS class, count(*) AS n FROM events GROUP BY 1""")
 def gate_candidates(spark, sf_dir):
     rows = gate.classify(parsing.parse(rendering.events_as_problems(spark.read.parquet(f"{sf_dir}/events.parquet")), whole=True))
-    rows = rows.where(gate.gate(F.col("tag"), F.col("message")) | ((F.col("line_no") - 1) % 8 == 0))
-    kind = F.when(F.col("cand") == gate.JAVA_FATAL, "fatal").when(F.col("cand") == gate.LMK, "lmk").when(F.col("cand") == 0, "none")
-    return rows.where((F.col("line_no") - 1) % 8 == 0).groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+    # the SQL counts events, so an event has the class of all its lines; gate_lines counts lines
+    own = F.when(F.col("cand") == gate.CONTINUATION, 0).otherwise(F.col("cand"))
+    rows = rows.groupBy(F.expr("(line_no - 1) div 8").alias("event")).agg(F.bit_or(own).alias("cand"))
+    kind = F.when(F.col("cand") == gate.JAVA_FATAL, "fatal").when(F.col("cand") == gate.LMK, "lmk").when(F.col("cand") == 0, "none").otherwise("other")
+    return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT class, passes, count(*) AS n FROM (SELECT unnest(CASE event_type WHEN 'error' THEN ['fatal', 'continuation', 'none', 'continuation'] WHEN 'purchase' THEN ['lmk'] ELSE ['none'] END) AS class, event_type IN ('error', 'purchase') AS passes FROM events) GROUP BY 1, 2""")
+def gate_lines(spark, sf_dir):
+    """Every line's class, and whether the gate lets it through; the exception of an own package begins with no fixed text."""
+    rows = gate.classify(parsing.parse(rendering.events_as_problems(spark.read.parquet(f"{sf_dir}/events.parquet")), whole=True))
+    kind = F.when(F.col("cand") == gate.JAVA_FATAL, "fatal").when(F.col("cand") == gate.LMK, "lmk").when(F.col("cand") == gate.CONTINUATION, "continuation").when(F.col("cand") == 0, "none").otherwise("other")
+    return rows.groupBy(kind.alias("class"), gate.gate(F.col("tag"), F.col("message")).alias("passes")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_EVENTS} SELECT kind, start, "end", CAST(pid AS BIGINT) AS pid, process, subject FROM E""")
@@ -415,7 +425,15 @@ def eventlog_parse(spark, sf_dir):
 
 @query("WITH x AS (SELECT * FROM events) SELECT event_id, CASE event_type WHEN 'error' THEN 3 ELSE 2 END AS n_tokens FROM x WHERE event_type IN ('error', 'click')")
 def highlight_tokens(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('error', 'click')")
+    return _highlighted(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('error', 'click')"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 3 ELSE 2 END AS n_tokens FROM events")
+def highlight_tokens_all(spark, sf_dir):
+    return _highlighted(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _highlighted(events: DataFrame) -> DataFrame:
     text = F.when(F.col("event_type") == "error", "an error here").otherwise("here")
     cut = highlight.highlight(text, [highlight.Rule("ERROR"), highlight.Rule("h.re", regex=True)], highlight.Rule("re"))
     return events.select("event_id", (F.size(cut) - F.when(F.col("event_type") == "error", 2).otherwise(0)).alias("n_tokens"))
