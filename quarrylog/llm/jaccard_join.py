@@ -3,27 +3,35 @@
 A document's set holds its distinct shingles of `width` words (words are runs of other than
 [\\x20\\x09-\\x0D], A-Z lower-cased); a document with fewer words, but not none, has its whole sequence
 as the one shingle; without words its set is empty and it is linked with nothing. Two documents link
-when den * |intersection| >= num * |union|. Shingles are 64-bit hashes of word hashes.
-
-1. One pass counts shingles by hash bucket in a sketch of fixed size over all documents and takes each
-   set's size and 128-bit signature. The counts give one global order, rarest first; the order never
-   changes what links, only how few candidates there are.
-2. A second pass emits each set's prefix of n - ceil(num * n / den) + 1 shingles. Copies within a task
-   emit once. Two sets that link share a prefix shingle.
-3. Star round: every document of a shared shingle is paired with the smallest and the largest set there
-   (ties by doc_id), under the length and positional filters, so the pairs are at most twice the
-   postings, however many near copies share it. Each distinct pair of different sets is verified once.
-4. Residual round: only shingles whose documents are still in different components give pairs, and
-   only across components, under the length and positional filters. No link between different
-   components is lost, and links within one are not needed to tell components.
-
-Null or empty text: empty set, a component of its own. Rows with equal doc_ids share the smallest
-component of their sets. Ties go to the smaller doc_id. Other columns are ignored by `near_duplicates`.
+when den * |intersection| >= num * |union|. Shingles are 64-bit hashes of word hashes; a vertex of the
+join is a distinct set, named by a 128-bit hash, so exact copies never meet each other.
+
+1. Texts are read once. Their shingles go, packed, to the hash range that each belongs to, and there all
+   shingles of the corpus are counted, without a sketch and without a cap. What comes back to a slice of
+   texts are the shingles that occur in two sets or more and their counts. Those that occur once are the
+   rarest, so it is enough to know how many they are.
+2. Each set's prefix of n - ceil(num * n / den) + 1 shingles in the order of counts, rarest first, gives
+   postings. Two sets that link share a shingle of both prefixes, and such a shingle occurs twice.
+3. Hub rounds: every shingle shared by several classes picks one of its sets as the hub of the round; a
+   set is paired with one hub of another class, under the length and positional filters and a bitmap
+   filter. So a round makes one pair a set at most, however many near copies there are. Pairs are
+   verified, classes joined, and shingles of one class leave.
+4. Residual round: what is left of shingles is paired across classes only, by equal shingle and length
+   band, under the same filters. No link between classes is lost; links within a class tell nothing.
+
+The bitmap filter holds the parity of each set's shingles in 256 bits; sets differ in as many shingles at
+least as their bitmaps do in bits, so it never rejects a link. Verification has a suffix filter and is exact.
+
+Null or empty text: empty set, a component of its own. Rows with equal doc_ids are judged one by one,
+repeated rows alike. A null doc_id takes part; a class's component_id is its smallest doc_id that is not
+null. Ties go to the smaller doc_id. A very long text is a slice of its own. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +40,14 @@ from pyspark.sql import functions as F
 from .common import NONSPACE, Stage, components, mix64, release, text_slices, words_of
 
 WIDTH, NUM, DEN = 5, 8, 10
-SKETCH_BITS = 22
-_CHUNKS = 64
+#: Text bytes for each range of shingle hashes that is counted by itself.
+RANGE_BYTES = 16 << 20
+#: Shingles that travel together from a task to the ranges.
+PACK = 1 << 20
+#: Hub rounds at most; the residual round is exact after any number of them.
+HUB_ROUNDS = 6
+_BITS = 256
+_WORDS = [f"b{k}" for k in range(_BITS // 64)]
 
 
 # --------------------------------------------------------------------------- sets of a slice of texts
@@ -72,6 +86,27 @@ def shingle_sets(col, width: int) -> tuple[np.ndarray, np.ndarray]:
     return texts[keep], values[keep]
 
 
+def signatures(values: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """A 128-bit hash of each set of a slice; none of the empty set."""
+    raw, ends = values.astype("<u8").tobytes(), np.cumsum(n).tolist()
+    return [hashlib.blake2b(raw[8 * (e - k) : 8 * e], digest_size=16).digest() if k else None for e, k in zip(ends, n.tolist(), strict=True)]
+
+
+def bitmaps(texts: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """The parity bitmap of each set, as rows of 64-bit words."""
+    out = np.zeros((rows, _BITS // 64), "<u8")
+    step = 4096
+    edges = np.searchsorted(texts, np.arange(0, rows + step, step))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        some = min(step, rows - k * step)
+        if some <= 0 or a == b:
+            continue
+        at = (texts[a:b] - k * step) * _BITS + (values[a:b] >> np.uint64(56)).astype(np.int64)
+        odd = (np.bincount(at, minlength=some * _BITS) & 1).astype(np.uint8).reshape(some, _BITS)
+        out[k * step : k * step + some] = np.packbits(odd, axis=1).view("<u8")
+    return out
+
+
 def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
@@ -93,81 +128,135 @@ def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (n + m - common)
 
 
-def _scan(width: int, bits: int):
-    def run(batches):
-        import pyarrow as pa
-
-        table = np.zeros(1 << bits, np.uint8)
-        names = ["doc_id", "n", "sig", "chunk", "data"]
-        shift = np.uint64(64 - bits)
-        for batch in batches:
-            for part in text_slices(batch):
-                texts, values = shingle_sets(part.column(1), width)
-                rows = part.num_rows
-                n = np.bincount(texts, minlength=rows)
-                ends = np.cumsum(n)
-                raw = values.astype("<u8").tobytes()
-                sig = [hashlib.blake2b(raw[8 * (e - k) : 8 * e], digest_size=16).digest() if k else None for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                slot, c = np.unique((values >> shift).astype(np.int64), return_counts=True)
-                table[slot] = np.minimum(table[slot].astype(np.int64) + c, 255).astype(np.uint8)
-                nothing = pa.nulls(rows)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=names)
-        used = [(k, c.tobytes()) for k, c in enumerate(table.reshape(_CHUNKS, -1)) if c.any()]
-        if used:
-            nothing = pa.nulls(len(used))
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.binary()), pa.array([k for k, _ in used], pa.int32()), pa.array([c for _, c in used], pa.binary())], names=names)
+# --------------------------------------------------------------------------- counts, and prefixes by them
 
-    return run
+#: p >= 0: shingles of a slice that belong to range p; p < 0: the slice's documents.
+_PACKED = "p long, slice long, grams binary, docs binary, counts binary, doc_id array<long>, n array<int>, sig array<binary>, bits binary"
 
 
-def _add_chunks(batches):
-    """Adds the chunks that a task gets; the counts stop at 255, as only their order matters."""
+def _packed(p, slices, grams=None, docs=None, counts=None, doc_id=None, n=None, sig=None, bits=None):
     import pyarrow as pa
 
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            c = np.frombuffer(raw.as_buffer().to_pybytes(), np.uint8).astype(np.uint16)
-            held[k] = np.minimum(held[k] + c, 255) if k in held else c
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([c.astype(np.uint8).tobytes() for c in held.values()], pa.binary())], names=["chunk", "data"])
+    k = len(p)
+    none = [None] * k
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary())
+    values = (p, slices, grams or none, docs or none, counts or none, doc_id or none, n or none, sig or none, bits or none)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=[x.split(" ")[0] for x in _PACKED.split(", ")])
+
 
+def _scan(width: int, range_bits: int):
+    """Reads texts: a set's shingles go to their ranges once a task at least, in packs of `PACK`."""
+    shift, low32 = np.uint64(64 - range_bits), np.uint64(32 - range_bits)
 
-def _prefixes(width: int, bits: int, num: int, den: int, sketch):
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        counts, shift = sketch.value, np.uint64(64 - bits)
+        number = TaskContext.get().partitionId() << 32
         seen: set[bytes] = set()
+        ids, sizes, sigs, bits, grams, docs, held = [], [], [], [], [], [], 0
+
+        def flush():
+            nonlocal number, held
+            g, d = np.concatenate(grams), np.concatenate(docs)
+            if len(g):
+                part = (g >> shift).astype(np.int64) if range_bits else np.zeros(len(g), np.int64)
+                order = np.argsort(part, kind="stable")
+                part, g, d = part[order], g[order], d[order]
+                begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                ends = np.append(begin[1:], len(part))
+                g = (g >> low32).astype("<u4")  # the 32 bits below those that name the range
+                yield _packed(part[begin], [number] * len(begin), [g[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], [d[a:b].tobytes() for a, b in zip(begin, ends, strict=True)])
+            yield _packed([-1 - number], [number], doc_id=[ids], n=[sizes], sig=[sigs], bits=[np.concatenate(bits).tobytes()])
+            number, held = number + 1, 0
+            ids.clear(), sizes.clear(), sigs.clear(), bits.clear(), grams.clear(), docs.clear()
+
         for batch in batches:
             for part in text_slices(batch):
                 texts, values = shingle_sets(part.column(1), width)
-                ids = np.asarray(part.column(0).cast(pa.int64()).fill_null(0))
-                valid = np.asarray(part.column(0).is_valid())
-                rows = part.num_rows
-                n = np.bincount(texts, minlength=rows)
-                ends = np.cumsum(n)
-                raw = values.astype("<u8").tobytes()
-                fresh = np.zeros(rows, bool)
-                for d, (e, k) in enumerate(zip(ends.tolist(), n.tolist(), strict=True)):
-                    if k and valid[d]:
-                        sig = hashlib.blake2b(raw[8 * (e - k) : 8 * e], digest_size=16).digest()
-                        if sig not in seen:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            seen.add(sig)
-                            fresh[d] = True
-                weight = counts[(values >> shift).astype(np.int64)]
-                order = np.lexsort((values, weight, texts))
-                t, v, w = texts[order], values[order], weight[order]
-                at = np.arange(len(t)) - (ends - n)[t]
-                keep = (at < prefix_length(n, num, den)[t]) & (w > 1) & fresh[t]
-                t = t[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(ids[t]), pa.array(n[t].astype(np.int32)), pa.array(at[keep].astype(np.int32))], names=["gram", "doc_id", "n", "at"])
+                n = np.bincount(texts, minlength=part.num_rows)
+                sig = signatures(values, n)
+                fresh = np.zeros(part.num_rows, bool)
+                for k, s in enumerate(sig):
+                    if s is not None and s not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(s)
+                        fresh[k] = True
+                bits.append(bitmaps(texts, values, part.num_rows))
+                use = fresh[texts]
+                grams.append(values[use])
+                docs.append((texts[use] + len(ids)).astype("<u4"))
+                ids += part.column(0).cast(pa.int64()).to_pylist()
+                sizes += n.tolist()
+                sigs += sig
+                held += int(use.sum())
+                if held >= PACK or len(ids) >= PACK:
+                    yield from flush()
+        if ids:
+            yield from flush()
+
+    return run
+
+
+def _count(key, table):
+    """Counts the shingles of a range; each slice gets back those that occur twice or more. Documents pass through."""
+    import pyarrow as pa
+
+    p = key[0].as_py()
+    if p < 0:
+        return table
+    slices, raw = table.column("slice").to_pylist(), [x.as_py() for x in table.column("grams")]
+    grams = np.frombuffer(b"".join(raw), "<u4")
+    docs = np.frombuffer(b"".join(x.as_py() for x in table.column("docs")), "<u4")
+    order = np.argsort(grams, kind="stable")
+    s = grams[order]
+    begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    times = np.diff(np.append(begin, len(s)))
+    counts = np.empty(len(s), "<u4")
+    counts[order] = np.repeat(times, times)
+    ends = np.cumsum([len(x) // 4 for x in raw])
+    out: list[list] = [[], [], [], []]
+    for name, e, x in zip(slices, ends, raw, strict=True):
+        a = e - len(x) // 4
+        use = counts[a:e] > 1
+        if use.any():
+            for held, v in zip(out, (name, grams[a:e][use].tobytes(), docs[a:e][use].tobytes(), counts[a:e][use].tobytes()), strict=True):
+                held.append(v)
+    return pa.Table.from_batches([_packed([p] * len(out[0]), *out)])
+
+
+def _prefixes(num: int, den: int):
+    def run(key, table):
+        import pyarrow as pa
+
+        names = ["gram", "v", "n", "at", *_WORDS]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), *[pa.int64()] * len(_WORDS)]
+        is_docs = np.asarray(table.column("p")) < 0
+        packs = table.filter(pa.array(~is_docs))
+        if not packs.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+        about = table.filter(pa.array(is_docs)).slice(0, 1).to_pylist()[0]
+        n = np.array(about["n"], np.int64)
+        join = lambda c: np.frombuffer(b"".join(x.as_py() for x in packs.column(c)), "<u4")
+        docs, counts = join("docs").astype(np.int64), join("counts")
+        gram = join("grams").astype(np.int64) | np.repeat(np.asarray(packs.column("p")) << 32, [len(x.as_py()) // 4 for x in packs.column("grams")])
+        order = np.lexsort((gram, counts, docs))
+        d, g = docs[order], gram[order]
+        several = np.bincount(d, minlength=len(n))
+        at = np.arange(len(d)) - (np.cumsum(several) - several)[d] + (n - several)[d]  # those that occur once come first
+        keep = at < prefix_length(n, num, den)[d]
+        d = d[keep]
+        bits = np.frombuffer(about["bits"], "<i8").reshape(len(n), len(_WORDS))
+        sig = pa.array(about["sig"], pa.binary()).take(pa.array(d))
+        return pa.Table.from_arrays([pa.array(g[keep]), sig, pa.array(n[d].astype(np.int32)), pa.array(at[keep].astype(np.int32)), *[pa.array(bits[d, k]) for k in range(len(_WORDS))]], names=names)
 
     return run
 
 
 def _sets(width: int):
+    """The sets that are wanted: v is the name of the set that the row's doc_id stands for."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -175,8 +264,9 @@ def _sets(width: int):
             for part in text_slices(batch):
                 texts, values = shingle_sets(part.column(1), width)
                 n = np.bincount(texts, minlength=part.num_rows)
-                raw, ends = values.astype("<u8").tobytes(), np.cumsum(n).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([raw[8 * (e - k) : 8 * e] for e, k in zip(ends, n.tolist(), strict=True)], pa.binary())], names=["id", "grams"])
+                right = [k for k, (a, b) in enumerate(zip(signatures(values, n), part.column(0).to_pylist(), strict=True)) if a == b]
+                raw, ends = values.astype("<u8").tobytes(), np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(right, pa.int64())), pa.array([raw[8 * (ends[k] - n[k]) : 8 * ends[k]] for k in right], pa.binary())], names=["v", "grams"])
 
     return run
 
@@ -186,7 +276,7 @@ def _verify(num: int, den: int):
         import pyarrow as pa
 
         for batch in batches:
-            ok = [links(np.frombuffer(a.as_buffer().to_pybytes(), "<u8"), np.frombuffer(b.as_buffer().to_pybytes(), "<u8"), num, den) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            ok = [links(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), num, den) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -195,69 +285,112 @@ def _verify(num: int, den: int):
 # --------------------------------------------------------------------------- the join
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, bits: int = SKETCH_BITS) -> DataFrame:
+class _Pairs:
+    """Candidates and verified links among the sets of a written table of postings."""
+
+    def __init__(self, stage: Stage, sets: DataFrame, num: int, den: int):
+        self.stage, self.sets, self.num, self.den = stage, sets, num, den
+
+    def fits(self, x: str, y: str):
+        """Length, positional and bitmap filters of two sets that share a shingle at these places of the order."""
+        c = lambda side, name: F.col(f"{side}.{name}")
+        nx, ny, both = c(x, "n"), c(y, "n"), self.num + self.den
+        rest = F.least(nx - c(x, "at"), ny - c(y, "at"))  # this shingle and all that may follow it in both
+        differ = sum((F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in _WORDS), F.lit(0))
+        least = F.ceil((nx + ny) * self.num / both)
+        return (F.greatest(nx, ny) * self.num <= F.least(nx, ny) * self.den) & (rest * both >= (nx + ny) * self.num) & (differ <= nx + ny - 2 * least)
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        a, b = self.sets.withColumnsRenamed({"v": "a", "grams": "ga"}), self.sets.withColumnsRenamed({"v": "b", "grams": "gb"})
+        out = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ga", "gb")
+        return self.stage.keep(out.mapInArrow(_verify(self.num, self.den), "a binary, b binary"), f"{name}-edges")
+
+    def hubs(self, postings: DataFrame, k: int) -> DataFrame:
+        """One pair a set: with the hub, of another class, that most others of its shingles may have picked too."""
+        item = F.struct(F.xxhash64("v", F.lit(k)).alias("pick"), "v", "class", "n", "at", *_WORDS)
+        heads = postings.groupBy("gram").agg(F.min(item).alias("hub"))
+        heads = self.stage.keep(heads, f"heads-{k}")
+        met = postings.alias("x").join(heads.hint("merge"), "gram").where(F.col("x.class") != F.col("hub.class")).where(self.fits("x", "hub"))
+        pairs = met.groupBy(F.col("x.v").alias("a")).agg(F.min(F.struct("hub.pick", "hub.v")).alias("to")).select("a", F.col("to.v").alias("b"))
+        return self.stage.keep(pairs, f"pairs-{k}")
+
+    def residual(self, postings: DataFrame) -> DataFrame:
+        """Pairs of different classes, each once, by equal shingle and neighbouring length bands."""
+        if self.num == self.den:
+            band = F.col("n").cast("long")
+        else:  # a hair wider than the ratio of lengths that link, so that rounding never parts them by two bands
+            band = F.floor(F.log(F.col("n")) / (math.log(self.den / self.num) * (1 + 1e-9)))
+        x = postings.withColumn("band", band).alias("x")
+        y = postings.withColumn("band", F.explode(F.array(band, band - 1))).alias("y")
+        smaller = F.struct(F.col("x.n"), F.col("x.v")) < F.struct(F.col("y.n"), F.col("y.v"))
+        met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band")) & smaller & (F.col("x.class") != F.col("y.class")) & self.fits("x", "y"))
+        return self.stage.keep(met.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct(), "residual-pairs")
+
+
+def _split_classes(stage: Stage, postings: DataFrame, classes: DataFrame | None, name: str) -> DataFrame:
+    """The postings with their classes, of shingles that several classes share; at first a set is a class of its own."""
+    if classes is None:
+        named = postings.withColumn("class", F.col("v"))
+    else:
+        named = postings.drop("class").join(classes.select(F.col("id").alias("v"), F.col("component").alias("class")).hint("merge"), "v", "left").withColumn("class", F.coalesce("class", "v"))
+    named = stage.keep(named, f"{name}-named")
+    mixed = named.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
+    mixed = stage.keep(mixed, f"{name}-mixed")
+    out = stage.keep(named.join(mixed.hint("merge"), "gram"), f"{name}-postings")
+    stage.drop(f"{name}-named"), stage.drop(f"{name}-mixed")
+    return out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, range_bytes: int = RANGE_BYTES, rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     stage = Stage(spark, "jaccard")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = stage.keep(text.mapInArrow(_scan(width, bits), "doc_id long, n long, sig binary, chunk int, data binary"), "scan")
-    chunks = scan.where("chunk is not null").select("chunk", "data").repartition(_CHUNKS, "chunk").mapInArrow(_add_chunks, "chunk int, data binary").collect()  # 2**bits bytes
-    table = np.zeros((_CHUNKS, (1 << bits) // _CHUNKS), np.uint8)
-    for r in chunks:
-        table[r["chunk"]] = np.maximum(table[r["chunk"]], np.frombuffer(r["data"], np.uint8))
-    sketch = spark.sparkContext.broadcast(table.reshape(-1))
-    sized = scan.where("chunk is null").select("doc_id", "n", "sig")
-    firsts = sized.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    known = stage.keep(sized.join(firsts, "sig", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("first")), "known")
-    stage.drop("scan")
-    of = known.where("n > 0").groupBy("doc_id").agg(F.min("first").alias("first"), F.max("n").alias("n"))
-
-    postings = text.mapInArrow(_prefixes(width, bits, num, den, sketch), "gram long, doc_id long, n int, at int")
-    postings = stage.keep(postings, "postings")
-    item = F.struct("n", "doc_id", "at")
-    heads = postings.groupBy("gram").agg(F.min(item).alias("low"), F.max(item).alias("high")).where("low.doc_id <> high.doc_id")
-    shared = stage.keep(postings.join(heads, "gram"), "shared")
-    stage.drop("postings")
-
-    def paired(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of different sets, by the smallest doc_id that has each, under the length filter."""
-        a = of.select(F.col("doc_id").alias("a"), F.col("first").alias("fa"), F.col("n").alias("na"))
-        b = of.select(F.col("doc_id").alias("b"), F.col("first").alias("fb"), F.col("n").alias("nb"))
-        named = pairs.join(a, "a").join(b, "b").where("fa <> fb").where(F.greatest("na", "nb") * num <= F.least("na", "nb") * den)
-        return named.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stage.keep(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        # a merge join at every size: whether `wanted` fits a broadcast must not change what is moved
-        sets = stage.keep(text.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(width), "id long, grams binary"), f"{name}-sets")
-        release(spark)
-        whole = pairs.join(sets.withColumnsRenamed({"id": "a", "grams": "ga"}), "a").join(sets.withColumnsRenamed({"id": "b", "grams": "gb"}), "b")
-        out = stage.keep(whole.select("a", "b", "ga", "gb").mapInArrow(_verify(num, den), "a long, b long"), f"{name}-edges")
-        stage.drop(f"{name}-sets")
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    range_bits = min(31, max(0, math.ceil(math.log2(max(1, size / range_bytes)))))
+    counted = text.mapInArrow(_scan(width, range_bits), _PACKED).groupBy("p").applyInArrow(_count, _PACKED)
+    counted = stage.keep(counted, "counted")
+    release(spark)
+    known = counted.where("p < 0").select(F.explode(F.arrays_zip("doc_id", "n", "sig")).alias("d")).select("d.doc_id", "d.n", F.col("d.sig").alias("v"))
+    known = stage.keep(known, "known")
+    firsts = stage.keep(known.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("first")), "firsts")
+    schema = "gram long, v binary, n int, at int, " + ", ".join(f"{b} long" for b in _WORDS)
+    postings = counted.groupBy("slice").applyInArrow(_prefixes(num, den), schema)
+    postings = _split_classes(stage, postings.dropDuplicates(["gram", "v"]), None, "start")
+    stage.drop("counted")
+
+    # sets of the rows that stand for a set with a shared shingle; a null doc_id is as good as any
+    absent = F.lit(-(1 << 63))
+    wanted = postings.select("v").distinct().join(firsts, "v").select("v", F.coalesce("first", absent).alias("row"))
+    wanted = stage.keep(wanted, "wanted")
+    # a merge join at every size: whether `wanted` fits a broadcast must not change what is moved
+    chosen = text.where("text is not null").withColumn("row", F.coalesce("doc_id", absent)).join(wanted.hint("merge"), "row").select("v", "text")
+    sets = stage.keep(chosen.mapInArrow(_sets(width), "v binary, grams binary").dropDuplicates(["v"]), "sets")
+    release(spark)
+
+    join = _Pairs(stage, sets, num, den)
+    classes = spark.createDataFrame([], "id binary, component binary")
+    for k in range(rounds):
+        pairs = join.hubs(postings, k)
+        found = join.verified(pairs, f"hub-{k}")
+        made, linked = pairs.count(), found.count()
+        if linked:
+            classes = components(spark, stage, classes.toDF("a", "b").unionByName(found), f"classes-{k}")
+            left = _split_classes(stage, postings, classes, f"round-{k}")
+            stage.drop("start-postings" if k == 0 else f"round-{k - 1}-postings")
+            postings = left
         release(spark)
-        return out
-
-    def fits(na, ia, nb, ib):
-        """Length and positional filters of two sets that share a shingle at these places of the global order."""
-        rest = F.least(na - ia, nb - ib)  # this shingle and all that may follow it in both
-        return (F.greatest(na, nb) * num <= F.least(na, nb) * den) & (rest * (num + den) >= (na + nb) * num)
-
-    star = [shared.where(fits(F.col("n"), F.col("at"), F.col(f"{h}.n"), F.col(f"{h}.at"))).select(F.col("doc_id").alias("a"), F.col(f"{h}.doc_id").alias("b")) for h in ("low", "high")]
-    stars = star[0].union(star[1]).where("a <> b").distinct()
-    edges = verified(paired(stars), "star")
-    comp = components(spark, stage, edges, "star-components")
-
-    labelled = of.join(comp.withColumnRenamed("id", "first"), "first", "left").select("doc_id", "first", F.coalesce("component", "first").alias("component"))
-    members = shared.select("gram", "doc_id", "n", "at").join(labelled, "doc_id")
-    mixed = members.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    rest = stage.keep(members.join(mixed, "gram").select("gram", "first", "component", "n", "at").distinct(), "rest")
-    x = rest.select("gram", F.col("first").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    y = rest.select("gram", F.col("first").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    cross = x.join(y, "gram").where(F.col("ca") < F.col("cb")).where(fits(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib")))
-    more = verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    comp = components(spark, stage, edges.unionByName(more), "components")
-    out = known.join(comp.withColumnRenamed("id", "first"), "first", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
+        if linked * 20 <= made:  # hubs join little any more
+            break
+    more = join.verified(join.residual(postings), "residual")
+    if more.limit(1).count():
+        classes = components(spark, stage, classes.toDF("a", "b").unionByName(more), "classes")
+    labels = firsts.join(classes.withColumnsRenamed({"id": "v", "component": "class"}), "v", "left").withColumn("class", F.coalesce("class", "v"))
+    labels = stage.keep(labels, "labels")
+    least = stage.keep(labels.groupBy("class").agg(F.min("first").alias("component_id")), "least")
+    names = stage.keep(labels.join(least.hint("merge"), "class").select("v", "component_id"), "names")
+    release(spark)
+    rows = known.where("v is not null").join(names.hint("merge"), "v").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return rows.unionByName(known.where("v is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def brute_force(texts: dict, width: int, num: int, den: int) -> dict:

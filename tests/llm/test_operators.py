@@ -179,7 +179,7 @@ def test_suffix_dedup(spark, texts):
 
 def test_jaccard_join(spark, texts):
     for width, num, den in ((3, 90, 100), (5, 8, 10), (1, 1, 2)):
-        got = by_id(jaccard_join.near_duplicates(spark, frame(spark, texts.items()), width, num, den, bits=12))
+        got = by_id(jaccard_join.near_duplicates(spark, frame(spark, texts.items()), width, num, den, range_bytes=2000))
         want = jaccard_join.brute_force(texts, width, num, den)
         assert {i: (got[i].n_shingles, got[i].component_id) for i in texts} == want
 
