@@ -12,10 +12,11 @@ join is a distinct set, named by a 128-bit hash, so exact copies never meet each
    rarest, so it is enough to know how many they are.
 2. Each set's prefix of n - ceil(num * n / den) + 1 shingles in the order of counts, rarest first, gives
    postings. Two sets that link share a shingle of both prefixes, and such a shingle occurs twice.
-3. Hub rounds: every shingle shared by several classes picks one of its sets as the hub of the round; a
-   set is paired with one hub of another class, under the length and positional filters and a bitmap
-   filter. So a round makes one pair a set at most, however many near copies there are. Pairs are
-   verified, classes joined, and shingles of one class leave.
+3. Hub rounds: every shingle shared by several classes picks a few of its sets as hubs; a set is paired
+   with one of each pick, of another class, under the length and positional filters and a bitmap filter.
+   So a round makes `PICKS` pairs a set at most, however many near copies there are. Pairs are verified,
+   classes joined, and shingles of one class leave. Another round follows only where what is left may
+   make many more pairs than there are postings, and the last round was worth it.
 4. Residual round: what is left of shingles is paired across classes only, by equal shingle and length
    band, under the same filters. No link between classes is lost; links within a class tell nothing.
 
@@ -44,8 +45,10 @@ WIDTH, NUM, DEN = 5, 8, 10
 RANGE_BYTES = 16 << 20
 #: Shingles that travel together from a task to the ranges.
 PACK = 1 << 20
-#: Hub rounds at most; the residual round is exact after any number of them.
-HUB_ROUNDS = 6
+#: Hubs that a shingle picks in a round, and rounds at most; the residual round is exact after any number of them.
+PICKS, HUB_ROUNDS = 3, 4
+#: Another round follows while one makes this share of the links that the first has made.
+WORTH = 0.1
 _BITS = 256
 _WORDS = [f"b{k}" for k in range(_BITS // 64)]
 
@@ -306,13 +309,20 @@ class _Pairs:
         return self.stage.keep(out.mapInArrow(_verify(self.num, self.den), "a binary, b binary"), f"{name}-edges")
 
     def hubs(self, postings: DataFrame, k: int) -> DataFrame:
-        """One pair a set: with the hub, of another class, that most others of its shingles may have picked too."""
-        item = F.struct(F.xxhash64("v", F.lit(k)).alias("pick"), "v", "class", "n", "at", *_WORDS)
-        heads = postings.groupBy("gram").agg(F.min(item).alias("hub"))
-        heads = self.stage.keep(heads, f"heads-{k}")
-        met = postings.alias("x").join(heads.hint("merge"), "gram").where(F.col("x.class") != F.col("hub.class")).where(self.fits("x", "hub"))
-        pairs = met.groupBy(F.col("x.v").alias("a")).agg(F.min(F.struct("hub.pick", "hub.v")).alias("to")).select("a", F.col("to.v").alias("b"))
-        return self.stage.keep(pairs, f"pairs-{k}")
+        """Pairs of a set with hubs of other classes: for each pick the one that most others of its shingles may have picked too."""
+        item = lambda j: F.struct(F.xxhash64("v", F.lit(k * PICKS + j)).alias("pick"), "v", "class", "n", "at", *_WORDS)
+        heads = postings.groupBy("gram").agg(*[F.min(item(j)).alias(f"h{j}") for j in range(PICKS)])
+        heads = self.stage.keep(heads.select("gram", F.array_distinct(F.array(*[f"h{j}" for j in range(PICKS)])).alias("hubs")), f"heads-{k}")
+        met = postings.join(heads.hint("merge"), "gram").select(F.struct("v", "class", "n", "at", *_WORDS).alias("x"), F.posexplode("hubs").alias("j", "hub"))
+        met = met.where(F.col("x.class") != F.col("hub.class")).where(self.fits("x", "hub"))
+        pairs = met.groupBy(F.col("x.v").alias("a"), "j").agg(F.min(F.struct("hub.pick", "hub.v")).alias("to"))
+        return self.stage.keep(pairs.select(F.least("a", "to.v").alias("a"), F.greatest("a", "to.v").alias("b")).distinct(), f"pairs-{k}")
+
+    def pairs_left(self, postings: DataFrame) -> tuple[int, int]:
+        """Pairs of classes that still share a shingle, counted for each shingle, and postings."""
+        each = postings.groupBy("gram").agg(F.count_distinct("class").alias("c"), F.count("*").alias("n"))
+        row = each.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.sum("n")).first()
+        return int(row[0] or 0), int(row[1] or 0)
 
     def residual(self, postings: DataFrame) -> DataFrame:
         """Pairs of different classes, each once, by equal shingle and neighbouring length bands."""
@@ -368,18 +378,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, nu
     release(spark)
 
     join = _Pairs(stage, sets, num, den)
-    classes = spark.createDataFrame([], "id binary, component binary")
+    classes, first = spark.createDataFrame([], "id binary, component binary"), 0
     for k in range(rounds):
-        pairs = join.hubs(postings, k)
-        found = join.verified(pairs, f"hub-{k}")
-        made, linked = pairs.count(), found.count()
-        if linked:
-            classes = components(spark, stage, classes.toDF("a", "b").unionByName(found), f"classes-{k}")
-            left = _split_classes(stage, postings, classes, f"round-{k}")
-            stage.drop("start-postings" if k == 0 else f"round-{k - 1}-postings")
-            postings = left
+        found = join.verified(join.hubs(postings, k), f"hub-{k}")
+        made = found.count()
+        first = made if k == 0 else first
+        if not made:
+            break
+        classes = components(spark, stage, classes.toDF("a", "b").unionByName(found), f"classes-{k}")
+        left = _split_classes(stage, postings, classes, f"round-{k}")
+        stage.drop("start-postings" if k == 0 else f"round-{k - 1}-postings")
+        postings = left
         release(spark)
-        if linked * 20 <= made:  # hubs join little any more
+        pairs, rows = join.pairs_left(postings)
+        if pairs <= 4 * rows or made < WORTH * first:
             break
     more = join.verified(join.residual(postings), "residual")
     if more.limit(1).count():
