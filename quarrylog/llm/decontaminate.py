@@ -2,22 +2,27 @@
 
 A text's words are maximal runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
 Each benchmark item gives windows of `window` consecutive words; an item of fewer words, but not none,
-is one window. Windows of one length m make one pattern table: the shift table says, for the hash of a
-block of two words, how far the search may jump; where it says 0, the block selects a suffix bucket,
-and each pattern there is compared with the text byte by byte. All texts of a slice are searched at
-once, cut into overlapping lanes whose cursors jump independently.
-
-Patterns are handled in blocks of bounded size (`block_bytes`), one pass over the documents for each,
-so what is broadcast never grows beyond that bound.
-
-Nulls and empty texts have no words and are never hit. Items without words match nothing; several
-items with the same window are all found. Rows that repeat are judged one by one. Extra columns are
+is one window. Windows of one length m make one pattern table: the shift table, sized by the patterns,
+says for the hash of a block of two words how far the search may jump; where it says 0, the block
+selects a suffix-hash bucket, the hash of the window its candidates there, and those are compared with
+the text byte by byte. All texts of a slice are searched at once, cut into overlapping lanes whose
+cursors jump independently.
+
+Patterns are handled in blocks of bounded size (`block_bytes`, one item at least), fetched and
+broadcast one at a time. A row passes through the blocks within its task and gathers what each finds,
+so nothing is shuffled, and the result is the same for any size of blocks.
+
+Null and empty texts have no words and are never hit. Items without words match nothing; several items
+with the same window are all found; windows of an item without item_id hit, but can't be listed. Rows
+that repeat, and rows with equal or null doc_ids, are judged one by one. A very long text is a slice
+of its own. Empty tables give no rows, or no hits. There are no ties to break. Extra columns are
 ignored by `contamination` and kept by `remove_contaminated`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -25,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, mix64, span_hashes, text_slices, word_bounds, words_of
+from .common import WORD, mix64, text_slices, words_of
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Item text that one search table holds; its words, hashes and buckets take about seven times as much memory.
+BLOCK_BYTES = 16 << 20
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 _LANE = 128
-_BITS = 16
 
 #: For each document: its words, whether each is hit (as runs), and the items found.
 HITS = T.StructType(
@@ -53,32 +58,52 @@ def item_windows(text: str | None, window: int = WINDOW) -> list[tuple[bytes, ..
 
 
 class WuManber:
-    """Patterns of one length m, as tuples of words."""
-
-    def __init__(self, patterns: list[tuple[bytes, ...]]):
-        self.m = len(patterns[0])
-        self.block = min(2, self.m)
-        self.patterns = patterns
-        flat = [w for p in patterns for w in p]
-        data = np.frombuffer(b"".join(flat), np.uint8)
-        ends = np.cumsum([len(w) for w in flat])
-        hashes = span_hashes(data, np.concatenate(([0], ends[:-1])), ends).reshape(len(patterns), self.m)
-        jump = self.m - self.block + 1
-        self.shift = np.full(1 << _BITS, jump, np.int64)
-        for j in range(self.block - 1, self.m):
-            slots = self.slot(self.blocks(hashes[:, j - self.block + 1 : j + 1]))
-            np.minimum.at(self.shift, slots, self.m - 1 - j)
-        last = self.blocks(hashes[:, self.m - self.block :])
-        order = np.argsort(last, kind="stable")
-        self.suffixes, self.bucket = last[order], order
-
-    @staticmethod
-    def blocks(h: np.ndarray) -> np.ndarray:
-        return h[..., 0] if h.shape[-1] == 1 else mix64(h[..., 0] * np.uint64(3) + h[..., 1])
-
-    @staticmethod
-    def slot(b: np.ndarray) -> np.ndarray:
-        return (b >> np.uint64(64 - _BITS)).astype(np.int64)
+    """Distinct patterns of one length m: runs of m words of a buffer that holds the items' words."""
+
+    def __init__(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, heads: np.ndarray, items: np.ndarray, m: int):
+        self.m, self.block = m, min(2, m)
+        self.low, self.starts, self.ends = low, starts.astype(np.int32), ends.astype(np.int32)
+        first, second = self.windows(hashes, heads), self.windows(mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), heads)
+        last = self.blocks(hashes, heads + m - 1)
+        order = np.lexsort((second, first, last))
+        heads, items, first, second, last = (x[order] for x in (heads, items, first, second, last))
+        new = np.ones(len(heads), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        at = np.flatnonzero(new)
+        self.heads = heads[at].astype(np.int32)  # suffix-hash buckets, and by window hash within a bucket
+        self.items, self.item_at = items.astype(np.int32), np.append(at, len(heads)).astype(np.int64)
+        self.suffixes = last[at]
+        self.keys = mix64(self.suffixes * np.uint64(3) + first[at])
+        self.by_key = np.argsort(self.keys, kind="stable")
+        self.keys = self.keys[self.by_key]
+        # eight slots for each block of the patterns, so that most blocks of a text jump
+        jump = m - self.block + 1
+        self.bits = int(min(24, max(16, math.ceil(math.log2(max(1, len(at) * jump))) + 3)))
+        self.shift = np.full(1 << self.bits, jump, np.int32)
+        for j in range(self.block - 1, m):
+            np.minimum.at(self.shift, self.slot(self.blocks(hashes, self.heads.astype(np.int64) + j)), m - 1 - j)
+
+    def windows(self, hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """A hash of the m words from each head on."""
+        acc = np.zeros(len(heads), np.uint64)
+        for j in range(self.m):
+            acc = acc * np.uint64(0x9E3779B97F4A7C15) + hashes[heads + j]
+        return mix64(acc)
+
+    def blocks(self, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The hash of the block of words that ends at each place."""
+        return hashes[at] if self.block == 1 else mix64(hashes[at - 1] * np.uint64(3) + hashes[at])
+
+    def slot(self, b: np.ndarray) -> np.ndarray:
+        return (b >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def items_of(self, k: int) -> list[int]:
+        return self.items[self.item_at[k] : self.item_at[k + 1]].tolist()
+
+    def equal(self, k: int, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: int) -> bool:
+        """Compares a pattern with the text's words byte by byte."""
+        head = int(self.heads[k])
+        return all(self.low[self.starts[head + j] : self.ends[head + j]].tobytes() == low[starts[begin + j] : ends[begin + j]].tobytes() for j in range(self.m))
 
     def search(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray, count: np.ndarray):
         """Yields (first word, pattern) of every occurrence; texts have words first[i] .. first[i] + count[i]."""
@@ -92,38 +117,53 @@ class WuManber:
         cursor = first[text] + part * _LANE + self.m - 1  # of the window's last word
         stop = first[text] + np.minimum((part + 1) * _LANE, n_starts[text]) + self.m - 1
         while len(cursor):
-            b = hashes[cursor] if self.block == 1 else mix64(hashes[cursor - 1] * np.uint64(3) + hashes[cursor])
+            b = self.blocks(hashes, cursor)
             step = self.shift[self.slot(b)]
             at_zero = np.flatnonzero(step == 0)
             if len(at_zero):
-                lo = np.searchsorted(self.suffixes, b[at_zero], side="left")
-                hi = np.searchsorted(self.suffixes, b[at_zero], side="right")
+                at_zero = at_zero[np.searchsorted(self.suffixes, b[at_zero], side="right") > np.searchsorted(self.suffixes, b[at_zero], side="left")]
+            if len(at_zero):
+                begins = cursor[at_zero] - self.m + 1
+                key = mix64(b[at_zero] * np.uint64(3) + self.windows(hashes, begins))
+                lo, hi = np.searchsorted(self.keys, key, side="left"), np.searchsorted(self.keys, key, side="right")
                 for i in np.flatnonzero(hi > lo):
-                    end = int(cursor[at_zero[i]])
-                    begin = end - self.m + 1
-                    for k in self.bucket[lo[i] : hi[i]]:
-                        p = self.patterns[k]
-                        if all(low[starts[begin + j] : ends[begin + j]].tobytes() == p[j] for j in range(self.m)):
-                            yield begin, int(k)
+                    for k in self.by_key[lo[i] : hi[i]]:
+                        if self.equal(int(k), low, starts, ends, int(begins[i])):
+                            yield int(begins[i]), int(k)
             cursor = cursor + np.maximum(step, 1)
             live = cursor < stop
             if not live.all():
                 cursor, stop = cursor[live], stop[live]
 
 
-def _tables(rows, window: int) -> list[tuple[WuManber, list[list[str]]]]:
-    """One search table for each window length, and for each of its patterns the items that have it."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in rows:
-        for w in item_windows(text, window):
-            by_length.setdefault(len(w), {}).setdefault(w, set()).add(str(item))
-    return [(WuManber(list(p)), [sorted(v) for v in p.values()]) for _, p in sorted(by_length.items())]
+class Patterns:
+    """A search table for each window length of a block of items, and the items' names (None: no id)."""
+
+    def __init__(self, rows, window: int):
+        import pyarrow as pa
 
+        self.names = [None if item is None else str(item) for item, _ in rows]
+        self.tables: list[WuManber] = []
+        low, _, starts, ends, owner, hashes = words_of(pa.array([t for _, t in rows], pa.large_string()), WORD)
+        count = np.bincount(owner, minlength=len(rows)).astype(np.int64)
+        first = np.cumsum(count) - count
+        length = np.minimum(count, window)
+        for m in sorted(set(length[length > 0].tolist())):
+            own = np.flatnonzero(length == m)
+            n = count[own] - m + 1
+            items = np.repeat(own, n)
+            heads = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[items]
+            self.tables.append(WuManber(low, starts, ends, hashes, heads, items, m))
+
+
+def _scan(patterns, keep_text: bool):
+    """Adds what a block of patterns hits to each row: doc_id, text, spans, items."""
 
-def _scan(tables):
     def run(batches):
         import pyarrow as pa
 
+        value = patterns.value if patterns is not None else None
+        tables, names = (value.tables, value.names) if value else ([], [])
         for batch in batches:
             for part in text_slices(batch):
                 low, off, starts, ends, owner, hashes = words_of(part.column(1), WORD)
@@ -132,65 +172,51 @@ def _scan(tables):
                 first = np.cumsum(count) - count
                 marks = np.zeros(len(starts) + 1, np.int64)
                 items: dict[int, set[str]] = {}
-                for table, names in tables:
+                if part.num_columns > 2:  # of the blocks before this one
+                    for d, (spans, found) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                        if spans:
+                            items[d] = set(found)
+                            for a, b in spans:
+                                marks[first[d] + a] += 1
+                                marks[first[d] + b] -= 1
+                for table in tables:
                     for begin, k in table.search(low, starts, ends, hashes, first, count):
                         marks[begin] += 1
                         marks[begin + table.m] -= 1
-                        items.setdefault(int(owner[begin]), set()).update(names[k])
+                        items.setdefault(int(owner[begin]), set()).update(names[i] for i in table.items_of(k) if names[i] is not None)
                 hit = np.cumsum(marks[:-1]) > 0
-                spans: dict[int, list[list[int]]] = {}
+                spans = {}
                 for d in items:
                     h = np.concatenate(([0], hit[first[d] : first[d] + count[d]].astype(np.int8), [0]))
-                    edge = np.flatnonzero(np.diff(h))
-                    spans[d] = edge.reshape(-1, 2).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array(count, pa.int64()),
-                        pa.array([spans.get(i, []) for i in range(n)], pa.list_(pa.list_(pa.int64()))),
-                        pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string())),
-                    ],
-                    names=HITS.names,
-                )
+                    spans[d] = np.flatnonzero(np.diff(h)).reshape(-1, 2).tolist()
+                found = [pa.array([spans.get(i, []) for i in range(n)], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string()))]
+                if keep_text:
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], names=["doc_id", "text", "spans", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(count, pa.int64()), *found], names=HITS.names)
 
     return run
 
 
-def _pattern_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """The item texts in blocks of bounded bytes. Blocks are told by item hash, so that each is fetched alone."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    if n == 1:
-        return [rows.collect()] if total else []
-    return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+def _pattern_blocks(benchmark: DataFrame, block_bytes: int):
+    """The item texts in blocks of about `block_bytes`, fetched one at a time; items are dealt out by hash."""
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    n = -(-total // block_bytes)
+    for k in range(n):
+        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield [tuple(r) for r in block.collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_words, spans (hit runs of words, end exclusive), items found."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
-    for block in _pattern_blocks(benchmark, block_bytes):
-        rows = block if isinstance(block, list) else block.collect()
-        parts.append(text.mapInArrow(_scan(_tables(rows, window)), HITS))
-    if not parts:
-        return text.mapInArrow(_scan([]), HITS)
-    if len(parts) == 1:
-        return parts[0]
-    # several passes: what a document's passes found is joined; positions of the same word may be hit in more than one
-    every = parts[0].withColumn("pass", F.lit(0))
-    for k, p in enumerate(parts[1:], 1):
-        every = every.unionByName(p.where(F.size("items") > 0).withColumn("pass", F.lit(k)))
-    joined = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<array<bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= s[0]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], s[1])))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    return joined.select("doc_id", "n_words", merged.alias("spans"), "items")
+    spark = docs.sparkSession
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = [spark.sparkContext.broadcast(Patterns(rows, window)) for rows in _pattern_blocks(benchmark, block_bytes)]
+    # a row passes from block to block within its task, so nothing is joined and rows are told apart without a key
+    for patterns in held[:-1]:
+        out = out.mapInArrow(_scan(patterns, True), "doc_id long, text string, spans array<array<bigint>>, items array<string>")
+    return out.mapInArrow(_scan(held[-1] if held else None, False), HITS)
 
 
 def summary(hits: DataFrame) -> DataFrame:
@@ -205,17 +231,15 @@ def summary(hits: DataFrame) -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any hit word, with all their columns; the text is searched in place, so nothing is joined."""
-    blocks = _pattern_blocks(benchmark, BLOCK_BYTES)
     out = docs
-    for block in blocks:
-        tables = _tables(block if isinstance(block, list) else block.collect(), window)
-        out = out.mapInArrow(_clean(tables), out.schema)
+    for rows in _pattern_blocks(benchmark, block_bytes):
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(Patterns(rows, window))), out.schema)
     return out
 
 
-def _clean(tables):
+def _clean(patterns):
     def run(batches):
         import pyarrow as pa
 
@@ -226,8 +250,8 @@ def _clean(tables):
                 count = np.bincount(owner, minlength=part.num_rows).astype(np.int64)
                 first = np.cumsum(count) - count
                 keep = np.ones(part.num_rows, bool)
-                for table, _ in tables:
-                    for begin, _k in table.search(low, starts, ends, hashes, first, count):
+                for table in patterns.value.tables:
+                    for begin, _ in table.search(low, starts, ends, hashes, first, count):
                         keep[owner[begin]] = False
                 yield part if keep.all() else part.filter(pa.array(keep))
 
@@ -250,6 +274,3 @@ def brute_force(doc: str | None, items: dict, window: int = WINDOW) -> tuple[int
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
-__all__ = ["BLOCK_BYTES", "WINDOW", "WuManber", "brute_force", "contamination", "digest", "item_windows", "remove_contaminated", "summary", "word_bounds"]
