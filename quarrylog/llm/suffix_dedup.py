@@ -22,8 +22,9 @@ the bytes of their windows, form one collection of short strings aligned at the
 
 Null and empty texts have no bytes, and texts shorter than the window lose none. Rows with equal
 doc_ids are told apart by their slice and place, so of wholly repeated rows all but one lose their
-windows. Null doc_ids sort first. Other columns are ignored. Surroundings are compared by 64-bit hash
-within a slice and byte by byte across slices.
+windows, however they are dealt out over partitions. Null doc_ids sort first. A very long text is a
+slice of its own, searched for anchors in stretches. An empty table gives no rows. Other columns are
+ignored. Surroundings are compared by 64-bit hash within a slice and byte by byte across slices.
 """
 
 from __future__ import annotations
@@ -121,18 +122,20 @@ SLICES = "slice long, ids array<long>, nulls array<boolean>, lengths array<long>
 def _pack(batches):
     import pyarrow as pa
     import zstandard
+    from pyspark import TaskContext
 
     z = zstandard.ZstdCompressor(level=3)
+    name = (TaskContext.get().partitionId() << 32) - 1  # the table is written once, so names stand even if a task runs again
     for batch in batches:
         for part in text_slices(batch, limit=SLICE_BYTES):
             buf, off = text_bytes(part.column(1))
             ids = part.column(0).to_pylist()
             raw = buf.tobytes()
             keys = [_NO_ID if i is None else i for i in ids]
-            name = hashlib.blake2b(raw + struct.pack(f"<{len(keys)}q", *keys), digest_size=8).digest()
+            name += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([struct.unpack("<q", name)[0]]),
+                    pa.array([name], pa.int64()),
                     pa.array([keys], pa.list_(pa.int64())),
                     pa.array([[i is None for i in ids]], pa.list_(pa.bool_())),
                     pa.array([np.diff(off).tolist()], pa.list_(pa.int64())),
@@ -352,7 +355,6 @@ def _finish(window: int, k: int, digest: bool):
 
         out: list[tuple] = []
         batches = left.combine_chunks().to_batches()
-        # slices of equal content are one name: of these the same is left, and the first row keeps its windows
         for batch in batches:
             for i in range(batch.num_rows):
                 s = _read(batch, i, window, k)
