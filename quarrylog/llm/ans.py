@@ -6,11 +6,15 @@ Every `CHECK_STEPS` steps a checkpoint holds the states and the place in the wor
 decoded from any checkpoint, and all stretches between checkpoints at once. A checksum covers the ids
 of each block and another the block's bytes; decoding raises on a mismatch.
 
-A block holds whole documents, in ascending doc_id order, and lists them with their lengths; lengths
-and not end ids delimit documents, as an end id may be an ordinary id as well.
+A block holds whole documents, in ascending doc_id order, and lists them with their lengths, under a
+checksum of its own; lengths and not end ids delimit documents, as an end id may be an ordinary id as well.
+
+The files: `table` holds the counts that the frequency table is made of, with a checksum; `blocks` holds
+the blocks, each with the checksum of the table that codes it. `read_tokens` needs the folder alone.
 
 Null text counts as empty, so it has the end id only. Null doc_ids come first. Rows with equal doc_ids
-stand next to each other in any order. Other columns are ignored. An empty table gives no blocks.
+stand next to each other in any order. A very long text is a block of its own. Other columns are ignored.
+An empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from .common import Stage, release, shuffle_partitions, text_slices
 LANES = 64
 CHECK_STEPS = 256
 BLOCK_IDS = 1 << 16
-MAGIC, VERSION = b"QANS", 1
+MAGIC, DOCS_MAGIC, VERSION = b"QANS", b"QDOC", 1
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD = struct.Struct("<4sHHIIIIII")  # magic, version, lanes, ids, steps, checkpoints, words, crc of ids, crc of the rest
@@ -42,6 +46,7 @@ class Frequencies:
     """Counts scaled to a power of two, at least 1 for every id that occurs."""
 
     def __init__(self, counts: np.ndarray):
+        self.crc = zlib.crc32(np.asarray(counts, "<i8").tobytes())
         counts = np.asarray(counts, np.float64)
         used = int((counts > 0).sum())
         self.bits = max(12, min(24, int(np.ceil(np.log2(max(used, 1)))) + 4))
@@ -176,6 +181,29 @@ def decode_blocks(coded: list[bytes], table: Frequencies) -> list[np.ndarray]:
     return found
 
 
+_DOCS = struct.Struct("<4sIIII")  # magic, documents, bytes of their list, crc of the list, crc of the table
+
+
+def pack_block(ids: list, lengths: list[int], coded: bytes, table_crc: int) -> bytes:
+    """A block of the files: its documents (ids, which of them are null, lengths), then the coded ids."""
+    known = np.array([i is not None for i in ids], np.uint8)
+    raw = np.array([i or 0 for i in ids], "<i8").tobytes() + known.tobytes() + np.array(lengths, "<u4").tobytes()
+    raw = zlib.compress(raw, 1)
+    return _DOCS.pack(DOCS_MAGIC, len(ids), len(raw), zlib.crc32(raw), table_crc) + raw + coded
+
+
+def unpack_block(block: bytes, table_crc: int) -> tuple[list, list[int], bytes]:
+    magic, n, size, crc, table = _DOCS.unpack_from(block)
+    raw = block[_DOCS.size : _DOCS.size + size]
+    if magic != DOCS_MAGIC or zlib.crc32(raw) != crc:
+        raise ValueError("damaged list of documents")
+    if table != table_crc:
+        raise ValueError("the block was coded with another table")
+    raw = zlib.decompress(raw)
+    ids, known = np.frombuffer(raw, "<i8", n).tolist(), np.frombuffer(raw, np.uint8, n, 8 * n)
+    return [i if k else None for i, k in zip(ids, known, strict=True)], np.frombuffer(raw, "<u4", n, 9 * n).tolist(), block[_DOCS.size + size :]
+
+
 # --------------------------------------------------------------------------- ids of texts
 
 # The file's pattern over U+0000-U+00FF, where Python and the library agree on every class.
@@ -245,7 +273,9 @@ def tokenizer(path: str) -> ByteTokenizer:
     return _tokenizers[path]
 
 
-def _tokenize(path: str, end_id: int):
+def _tokenize(path: str, end_id: int, cuts: list[int]):
+    """part (how many cuts are smaller than the doc_id), doc_id, number of ids and ids of each text."""
+
     def run(batches):
         import os
 
@@ -255,9 +285,11 @@ def _tokenize(path: str, end_id: int):
         t, end = tokenizer(path), struct.pack("<I", end_id)
         for batch in batches:
             for part in text_slices(batch):
-                ids = [b + end for b in t.encode_batch([x or "" for x in part.column(2).to_pylist()])]
+                ids = [b + end for b in t.encode_batch([x or "" for x in part.column(1).to_pylist()])]
                 packed = [_pack(np.frombuffer(b, "<u4")) for b in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "n", "ids"])
+                doc = part.column(0).cast(pa.int64())
+                to = np.searchsorted(np.array(cuts, np.int64), np.asarray(doc.fill_null(NO_ID)), side="left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), doc, pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "n", "ids"])
 
     return run
 
@@ -293,8 +325,8 @@ def _encode(counts):
         import pyarrow as pa
 
         table = Frequencies(counts.value)
-        names = ["part", "first_id", "last_id", "ordinal", "n_ids", "doc_ids", "lengths", "payload"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        names = ["part", "first_id", "last_id", "ordinal", "n_ids", "payload"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         pending, held, ordinal = [], 0, 0
         part, docs, lengths, parts, size = None, [], [], [], 0
 
@@ -310,7 +342,7 @@ def _encode(counts):
             rows = []
             for (p, d, n, ids), raw in zip(pending, encode_blocks([x[3] for x in pending], table), strict=True):
                 key = [NO_ID if i is None else i for i in (d[0], d[-1])]
-                rows.append((p, *key, ordinal, len(ids), d, n, raw))
+                rows.append((p, *key, ordinal, len(ids), pack_block(d, n, raw, table.crc)))
                 ordinal += 1
             pending, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -334,19 +366,19 @@ def _encode(counts):
     return run
 
 
-BLOCKS = "part int, first_id long, last_id long, ordinal long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+BLOCKS = "part int, first_id long, last_id long, ordinal long, n_ids long, payload binary"
+TABLE = "id int, n long, crc long"
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0, parts: int | None = None, stage: Stage | None = None) -> tuple[DataFrame, np.ndarray, Stage]:
-    """Encodes all texts and writes the coded blocks; returns them reread, and the counts that give their table."""
-    stage = stage or Stage(spark, "tokens")
+def write_tokens(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 0, parts: int | None = None, to: str | None = None) -> str:
+    """Encodes all texts with the tokenizer file at `path`; returns the folder of the files (`to`, or one in the shared folder)."""
+    stage = Stage(spark, "tokens")
+    to = (to or f"{stage.base}/files").rstrip("/")
     parts = parts or max(2, 2 * shuffle_partitions(spark))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = text.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)
+    cuts = text.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(edges, lambda c: c < F.col("doc_id"))), F.lit(0)).cast("int")
-    tokens = text.select(part.alias("part"), "doc_id", "text").mapInArrow(_tokenize(path, end_id), "part int, doc_id long, n long, ids binary")
+    tokens = text.mapInArrow(_tokenize(path, end_id, cuts), "part int, doc_id long, n long, ids binary")
     ordered = tokens.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "doc_id")
     kept = stage.keep(ordered, "ids")
     del ordered
@@ -356,9 +388,22 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, end_id: int =
     counts = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
-    blocks = stage.keep(kept.mapInArrow(_encode(spark.sparkContext.broadcast(counts)), BLOCKS), "blocks")
+    crc = Frequencies(counts).crc
+    spark.createDataFrame([(int(i), int(counts[i]), crc) for i in np.flatnonzero(counts)], TABLE).coalesce(1).write.mode("overwrite").parquet(f"{to}/table")
+    kept.mapInArrow(_encode(spark.sparkContext.broadcast(counts)), BLOCKS).write.mode("overwrite").parquet(f"{to}/blocks")
     stage.drop("ids")
-    return blocks, counts, stage
+    return to
+
+
+def read_table(spark: SparkSession, path: str) -> np.ndarray:
+    """The counts of the files' table, one row an id of the vocabulary, held against their checksum."""
+    rows = spark.read.schema(TABLE).parquet(f"{path}/table").collect()
+    counts = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
+    for r in rows:
+        counts[r["id"]] = r["n"]
+    if any(r["crc"] != Frequencies(counts).crc for r in rows[:1]):
+        raise ValueError("damaged table")
+    return counts
 
 
 def _decode(counts):
@@ -366,31 +411,33 @@ def _decode(counts):
         import pyarrow as pa
 
         table = Frequencies(counts.value)
+        kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
         for batch in batches:
             n = batch.num_rows
             for at in range(0, n, 16):
                 rows = batch.slice(at, min(16, n - at))
-                ids = decode_blocks([r.as_buffer().to_pybytes() for r in rows.column(7)], table)
+                blocks = [unpack_block(r.as_buffer().to_pybytes(), table.crc) for r in rows.column(4)]
+                ids = decode_blocks([x[2] for x in blocks], table)
                 out = [[], [], [], [], [], [], [], []]
-                for k in range(rows.num_rows):
+                for k, (docs, lengths, _) in enumerate(blocks):
                     key = [rows.column(c)[k].as_py() for c in range(4)]
                     begin = 0
-                    for doc, length in zip(rows.column(5)[k].as_py(), rows.column(6)[k].as_py(), strict=True):
+                    for doc, length in zip(docs, lengths, strict=True):
                         own = ids[k][begin : begin + length].astype("<u4").tobytes()
                         for c, v in zip(out, (*key, begin, doc, length, own), strict=True):
                             c.append(v)
                         begin += length
-                kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["part", "first_id", "last_id", "ordinal", "begin", "doc_id", "n_tokens", "ids"])
 
     return run
 
 
-def read_tokens(spark: SparkSession, blocks: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Every document's ids from the blocks: doc_id, ids (little-endian unsigned 32-bit), n_tokens and start.
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Every document's ids from the files: doc_id, ids (little-endian unsigned 32-bit), n_tokens and start.
 
     A block's start comes from the ids of the blocks before it in its part, and of the parts before that.
     """
+    blocks, counts = spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), read_table(spark, path)
     key = ["part", "first_id", "last_id", "ordinal"]
     before = Window.partitionBy("part").orderBy("first_id", "last_id", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
     index = blocks.select(*key, "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -400,6 +447,6 @@ def read_tokens(spark: SparkSession, blocks: DataFrame, counts: np.ndarray) -> D
         starts.append((r["part"], total))
         total += r["n"]
     bases = spark.createDataFrame(starts, "part int, base long")
-    docs = blocks.mapInArrow(_decode(spark.sparkContext.broadcast(counts)), "part int, first_id long, last_id long, ordinal long, begin long, doc_id long, n_tokens long, ids binary")
+    docs = blocks.select(*key, "payload").mapInArrow(_decode(spark.sparkContext.broadcast(counts)), "part int, first_id long, last_id long, ordinal long, begin long, doc_id long, n_tokens long, ids binary")
     place = index.join(F.broadcast(bases), "part").select(*key, (F.col("base") + F.col("in_part")).alias("block_start"))
     return docs.withColumn("ids_crc32", F.crc32("ids")).join(place, key).select("doc_id", (F.col("block_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", "ids")

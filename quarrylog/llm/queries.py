@@ -34,8 +34,8 @@ def op1_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from . import ans as op
 
-    blocks, counts, _ = op.write_tokens(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-    return op.read_tokens(spark, blocks, counts).select("doc_id", "start", "n_tokens", "ids_crc32")
+    path = op.write_tokens(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return op.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
