@@ -4,7 +4,8 @@ A template is wording with marked regions: `<<beginOptional>> ... <<endOptional>
 `<<var;name=...;min=a;max=b>>` stands for a to b arbitrary words. Templates are compiled to automata
 over words, run over the text's words from every place where the first mandatory word stands; a
 template is accepted only if all mandatory wording occurs in order, exactly, with nothing between but
-what the markup allows.
+what the markup allows. Licences (-text, -clause) and file headers (-header) need their whole wording;
+a -notice is one line that names a licence, and says no more than that.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Nulls and
 empty texts have no words, no label and score 0. Overlapping places all count. Repeated rows are
@@ -26,19 +27,79 @@ from .common import WORD, span_hashes, text_slices, words_of
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Labels and template wording (opening sentences of well-known licences and usual notices).
+# Labels and mandatory wording of whole licences, of the notices that stand in files, and of one-line notices.
 TEMPLATES = {
+    "mit-text": """
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
+        files the <<var;name=term;min=1;max=2>> to deal in the software without restriction including without limitation the rights
+        to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the
+        software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        <<beginOptional>>including the next paragraph <<endOptional>>shall be included in all copies or substantial portions of the
+        software the software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+        <<var;name=holder;min=1;max=12>> be liable for any claim damages or other liability whether in an action of contract tort or
+        otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "bsd-2-clause": """
+        redistribution and use in source and binary forms with or without modification are permitted provided that the following
+        conditions are met <<beginOptional>>1 <<endOptional>>redistributions of source code must retain the above copyright notice
+        this list of conditions and the following disclaimer <<beginOptional>>2 <<endOptional>>redistributions in binary form must
+        reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution this software is provided by <<var;name=holder;min=1;max=12>> as is and any express
+        or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular
+        purpose are disclaimed in no event shall <<var;name=holder;min=1;max=12>> be liable for any direct indirect incidental
+        special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of
+        use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+        liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of
+        the possibility of such damage""",
+    "bsd-3-clause": """
+        redistribution and use in source and binary forms with or without modification are permitted provided that the following
+        conditions are met <<beginOptional>>1 <<endOptional>>redistributions of source code must retain the above copyright notice
+        this list of conditions and the following disclaimer <<beginOptional>>2 <<endOptional>>redistributions in binary form must
+        reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution <<beginOptional>>3 <<endOptional>>neither the name of
+        <<var;name=organisation;min=1;max=12>> nor the names of <<var;name=whose;min=1;max=3>> contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission this software is provided by
+        <<var;name=holder;min=1;max=12>> as is and any express or implied warranties including but not limited to the implied
+        warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall
+        <<var;name=holder;min=1;max=12>> be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business
+        interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence
+        or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage""",
+    "isc-text": """
+        permission to use copy modify and <<beginOptional>>or <<endOptional>>distribute this software for any purpose with or without
+        fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software
+        is provided as is and <<var;name=author;min=1;max=12>> disclaims all warranties with regard to this software including all
+        implied warranties of merchantability and fitness in no event shall <<var;name=author;min=1;max=12>> be liable for any
+        special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether
+        in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of
+        this software""",
+    "apache-2.0-header": """
+        licensed under the apache license version 2 0 the license you may not use this <<var;name=file;min=1;max=2>> except in
+        compliance with the license you may obtain a copy of the license at <<var;name=scheme;min=1;max=1>> www apache org licenses
+        license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed
+        on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific
+        language governing permissions and limitations under the license""",
+    "gpl-2.0-header": """
+        is free software you can redistribute it and or modify it under the terms of the gnu general
+        public license as published by the free software foundation <<beginOptional>>either <<endOptional>>version 2 of the license
+        <<beginOptional>>or at your option any later version <<endOptional>><<var;name=program;min=1;max=4>> is distributed in the hope
+        that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a
+        particular purpose see the gnu general public license for more details""",
+    "gpl-3.0-header": """
+        is free software you can redistribute it and or modify it under the terms of the gnu general
+        public license as published by the free software foundation <<beginOptional>>either <<endOptional>>version 3 of the license
+        <<beginOptional>>or at your option any later version <<endOptional>><<var;name=program;min=1;max=4>> is distributed in the hope
+        that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a
+        particular purpose see the gnu general public license for more details""",
+    "mpl-2.0-header": """
+        this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed
+        with this file you can obtain one at <<var;name=scheme;min=1;max=1>> mozilla org mpl 2 0""",
     "mit-notice": "<<beginOptional>>this <<var;name=what;min=1;max=3>> is <<endOptional>>released under the <<beginOptional>>terms of the <<endOptional>>mit license",
     "apache-2.0-notice": "licensed under the apache license version 2 0",
     "gpl-3.0-notice": "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>>version 3",
     "gpl-2.0-notice": "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>>version 2",
-    "cc-by-nc-4.0": "licensed under <<beginOptional>>the <<endOptional>>cc by nc 4 0",
-    "cc-by-4.0": "licensed under <<beginOptional>>the <<endOptional>>cc by 4 0",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var;name=term;min=1;max=2>> to deal in the software without restriction",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this <<var;name=file;min=1;max=2>> except in compliance with the license",
-    "gpl": "this <<var;name=program;min=1;max=3>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "cc-by-nc-4.0-notice": "licensed under <<beginOptional>>the <<endOptional>>cc by nc 4 0",
+    "cc-by-4.0-notice": "licensed under <<beginOptional>>the <<endOptional>>cc by 4 0",
 }
 
 _MARK = re.compile(r"<<(.*?)>>")
