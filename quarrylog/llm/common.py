@@ -57,6 +57,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet: `name`, with as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -190,16 +198,18 @@ def components(spark: SparkSession, stage: Stage, edges: DataFrame, name: str, m
     last = None
     for k in range(1, max_rounds + 1):
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
+        # what is joined back is written first, so that a hub's rows may be split among tasks
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = stage.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-low-{k}")
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stage.keep(large, f"{name}-large-{k}")
         # small star: u and its smaller neighbours are tied to the smallest neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = stage.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least-{k}")
+        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = stage.keep(small.where("u <> v").distinct(), f"{name}-{k}")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if k > 1:
-            stage.drop(f"{name}-{k - 1}")
+        for old in (f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-least-{k}", f"{name}-{k - 1}"):
+            stage.drop(old)
         if tuple(state) == last:
             break
         last = tuple(state)

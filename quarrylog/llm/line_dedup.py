@@ -16,10 +16,11 @@ is deleted of a document is therefore exactly the union of its maximal repeated
 words or more that begin earlier elsewhere; overlaps count, and runs are judged on the input, not on
 what is left.
 
-Words are counted by blanks and tabs. Null text stays null, empty text stays empty; neither has runs.
-Blank lines have no words; they go inside or at the end of a run, and stay before it. Null doc_ids sort first. Rows with equal
-doc_ids are told apart by their text; wholly repeated rows are one document and are treated alike.
-Other columns are kept; n_chars, where it exists, follows the text.
+A line's words are its maximal runs of characters other than blank, tab and carriage return. Null text
+stays null, empty text stays empty; neither has runs. Blank lines have no words; they go inside or at the
+end of a run, and stay before it. Null doc_ids sort first. Rows with equal doc_ids are told apart by their
+text; wholly repeated rows are one document and are treated alike. A very long text is one row for each
+of its lines. An empty table gives no rows. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,28 +28,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, release
+from .common import Stage, free_name, release
 
 MIN_WORDS = 40
 _KEY = ["d", "t"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """d, t: what tells documents apart; t matters only where doc_ids repeat."""
-    return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+def _key() -> list:
+    """What tells documents apart; the text matters only where doc_ids repeat."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
+
+
+def n_words(line: str):
+    """Words of a column; only lines with neighbouring blanks need a pattern."""
+    plain = F.trim(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
+    blanks = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
+    return F.when(plain == "", 0).when(plain.contains("  "), F.regexp_count(plain, F.lit("[^ ]+"))).otherwise(blanks + 1)
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """d, t, pos, two hashes of the line, and n to m: the lines of the windows that begin here.
 
     n is the shortest run of min_words words; the longer ones, if any, are the shortest that end where they end."""
-    keyed = _keyed(docs.select("doc_id", "text")).where(F.length("text") > 0).select(F.col("__d").alias("d"), F.col("__t").alias("t"), "text")
+    d, t = _key()
+    keyed = docs.select(d.alias("d"), t.alias("t"), F.col("text").cast("string").alias("text")).where("text <> ''")
     if keyed.groupBy(*_KEY).count().where("count > 1").limit(1).count():
         keyed = keyed.dropDuplicates(_KEY)
     each = keyed.select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    plain = F.translate("line", "\t", " ")
-    words = F.when(F.trim(plain) == "", 0).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1)
-    each = each.select(*_KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.least(words, F.lit(min_words)).cast("long").alias("w"))
+    each = each.select(*_KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), F.least(n_words("line"), F.lit(min_words)).cast("long").alias("w"))
     # words are counted up to min_words a line, so the run that begins after a line ends within 2 * min_words
     by_doc = Window.partitionBy(*_KEY).orderBy("pos")
     summed = each.withColumn("sum", F.sum("w").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
@@ -104,8 +111,10 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
         every = every.unionByName(x)
     # one interval of the suffix array for each name; its smallest place owns the run
     name = ["n", "r1", "r2"]
+    # written first, so that the rows of a hot name may be split among tasks where they meet it
     owners = every.groupBy(*name).agg(F.min(F.struct(*_KEY, "pos")).alias("owner"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = every.join(owners, name).where(F.struct(*_KEY, "pos") > F.col("owner")).select(*_KEY, F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1).cast("int").alias("end"))
+    owners = stage.keep(owners, "owners")
+    later = every.join(owners.hint("merge"), name).where(F.struct(*_KEY, "pos") > F.col("owner")).select(*_KEY, F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1).cast("int").alias("end"))
     # overlapping and touching runs of a document become one
     order = Window.partitionBy(*_KEY).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -115,44 +124,44 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later copies of repeated runs; adds `__removed` (array of start, end lines, or null)."""
+    """The documents without later copies of repeated runs. The last column, `__removed` or with more underscores where
+    that is taken, has the deleted runs (array of start and end lines, or null)."""
     stage = Stage(spark, "line-dedup")
     runs = repeated_runs(spark, docs, min_words, stage)
-    by_doc = stage.keep(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__removed")), "removed")
+    removed, d, t = (free_name(docs, x) for x in ("__removed", "__d", "__t"))
+    by_doc = stage.keep(runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(removed)), "removed")
     # a merge join at every size: whether `removed` fits a broadcast must not change what is moved
-    keyed = _keyed(docs).join(by_doc.withColumnsRenamed({"d": "__d", "t": "__t"}).hint("merge"), ["__d", "__t"], "left").drop("__d", "__t")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.exists("__removed", lambda s: (i >= s["start"]) & (i <= s["end"])))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    keyed = docs.withColumns(dict(zip((d, t), _key(), strict=True)))
+    keyed = keyed.join(by_doc.withColumnsRenamed({"d": d, "t": t}).hint("merge"), [d, t], "left").select(*[keyed[c] for c in docs.columns], removed)
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists(F.col(removed), lambda s: (i >= s["start"]) & (i <= s["end"])))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return keyed.withColumn("text", text)
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """Of what remove_repeated_lines returns: lines deleted, maximal runs, and the hash of what is left."""
-    removed = F.coalesce(F.aggregate("__removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1), F.lit(0).cast("long"))
-    return docs.select("doc_id", removed.alias("n_removed_lines"), F.coalesce(F.when(F.col("__removed").isNotNull(), F.size("__removed")), F.lit(0)).cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    runs = F.col(docs.columns[-1])
+    lines = F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1), F.lit(0).cast("long"))
+    return docs.select("doc_id", lines.alias("n_removed_lines"), F.coalesce(F.when(runs.isNotNull(), F.size(runs)), F.lit(0)).cast("long").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def brute_force(texts: dict, min_words: int) -> dict:
-    """doc_id -> (lines deleted, text left), from the definition."""
+    """doc_id -> (lines deleted, text left), from the definition: every run that also begins earlier, as long as it gets."""
     lines = {i: (t.split("\n") if t else []) for i, t in texts.items()}
-
-    def n_words(x):
-        x = x.replace("\t", " ")
-        return x.count(" ") + 1 if x.strip(" ") else 0
-
-    seen, drop = set(), {i: set() for i in texts}
+    words = {i: [len(x.replace("\t", " ").replace("\r", " ").split(" ")) - x.replace("\t", " ").replace("\r", " ").split(" ").count("") for x in xs] for i, xs in lines.items()}
+    earlier: dict[str, list] = {}
+    out = {}
     for i in sorted(texts):
+        gone: set[int] = set()
         for p, x in enumerate(lines[i]):
-            if not n_words(x):
-                continue
-            total = 0
-            for q in range(p, len(lines[i])):
-                total += n_words(lines[i][q])
-                if total >= min_words:
-                    run = tuple(lines[i][p : q + 1])
-                    if run in seen:
-                        drop[i].update(range(p, q + 1))
-                    seen.add(run)
-                    break
-    return {i: (len(drop[i]), "\n".join(x for p, x in enumerate(lines[i]) if p not in drop[i])) for i in texts}
+            far = 0
+            for j, q in earlier.get(x, ()):
+                k = 1
+                while p + k < len(lines[i]) and q + k < len(lines[j]) and lines[i][p + k] == lines[j][q + k]:
+                    k += 1
+                far = max(far, k)
+            if words[i][p] and sum(words[i][p : p + far]) >= min_words:
+                gone.update(range(p, p + far))
+            earlier.setdefault(x, []).append((i, p))
+        out[i] = (len(gone), "\n".join(x for p, x in enumerate(lines[i]) if p not in gone))
+    return out
