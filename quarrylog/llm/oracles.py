@@ -74,11 +74,14 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY 1, 2
 """
 
+# A line goes if it stands in a run of MIN_WORDS words or more that begins with a word and also begins earlier. Any such run is
+# covered by the shortest that begin at one of its lines, and those that end at one; all copies of these are such runs as well.
 _LINES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS xs FROM documents),
-l AS (SELECT doc_id, i, x, CASE WHEN trim(replace(x, chr(9), ' ')) = '' THEN 0 ELSE length(x) - length(replace(replace(x, chr(9), ' '), ' ', '')) + 1 END AS n FROM (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM d WHERE length(text) > 0)),
+l AS (SELECT doc_id, i, x, len(regexp_extract_all(x, '[^ \\t\\r]+')) AS n FROM (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM d WHERE length(text) > 0)),
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
-q AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {MIN_WORDS} WHERE a.n > 0 GROUP BY 1, 2),
+k AS (SELECT a.doc_id, a.i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= {MIN_WORDS} WHERE a.n > 0),
+q AS (SELECT doc_id, i, min(j) AS j FROM k GROUP BY 1, 2 UNION SELECT doc_id, max(i) AS i, j FROM k GROUP BY 1, 3),
 r AS (SELECT q.doc_id, q.i, q.j, array_to_string(d.xs[q.i:q.j], chr(10)) AS run FROM q JOIN d USING (doc_id)),
 o AS (SELECT *, first_value(doc_id) OVER w AS od, first_value(i) OVER w AS oi FROM r WINDOW w AS (PARTITION BY run ORDER BY doc_id, i)),
 g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM o WHERE (doc_id, i) <> (od, oi)),
