@@ -14,6 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, t string, n string, slice string, bucket string, keep_id string, removed string, score string, gram string, first string, label string, part string, word string"
 CLASH = ("x",) * 13
+POOL = "abcdefghijklmnopqrstuvwxyzABCDEÀÉßäöüñ 's't'll0123456789.,!?-_\n\t'\"#$%&\xa0\x85\x1c\x1f²½ªİıſΣςΑ中文あア한국🙂́ ﬁ\x00<|endoftext|>"
 
 
 def frame(spark, rows):
@@ -53,11 +54,10 @@ def test_matches_sql(spark, name):
 def test_every_operator_takes_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     path = public_tokenizers.path("word_bpe_49k.json")
-    blocks, counts, _ = ans.write_tokens(spark, empty, public_tokenizers.path("byte_bpe_50k.json"))
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (
-        ans.read_tokens(spark, blocks, counts),
+        ans.read_tokens(spark, ans.write_tokens(spark, empty, public_tokenizers.path("byte_bpe_50k.json"))),
         sharding.shards(spark, empty),
         bpe.encode_digests(empty, path),
         licenses.summary(licenses.license_matches(empty)),
@@ -86,17 +86,32 @@ def test_rans_round_trip_and_damage():
         ans.decode_blocks([bytes(bad)], table)
 
 
-def test_token_files(spark, texts):
+def test_token_files(spark, texts, tmp_path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    blocks, counts, _ = ans.write_tokens(spark, frame(spark, texts.items()), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, parts=5)
-    got, at = by_id(ans.read_tokens(spark, blocks, counts)), 0
-    for i in sorted(texts):
-        ids = t.encode(texts[i] or "", add_special_tokens=False).ids + [0]
-        raw = struct.pack(f"<{len(ids)}I", *ids)
-        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32, bytes(got[i].ids)) == (at, len(ids), zlib.crc32(raw), raw)
-        at += len(ids)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rnd = random.Random(5)
+    rows = dict(texts) | {1000 + i: "".join(rnd.choice(POOL) for _ in range(rnd.randint(0, 60))) for i in range(400)} | {5000: "ab é " * 70_000}
+    for parts in (1, 5):
+        to = ans.write_tokens(spark, frame(spark, rows.items()), path, end_id=0, parts=parts, to=f"file://{tmp_path}/{parts}")
+        got, at = by_id(ans.read_tokens(spark.newSession(), to)), 0  # the folder is all that is needed
+        for i in sorted(rows):
+            ids = t.encode(rows[i] or "", add_special_tokens=False).ids + [0]
+            raw = struct.pack(f"<{len(ids)}I", *ids)
+            assert (got[i].start, got[i].n_tokens, got[i].ids_crc32, bytes(got[i].ids)) == (at, len(ids), zlib.crc32(raw), raw)
+            at += len(ids)
+    again = ans.read_tokens(spark, ans.write_tokens(spark, frame(spark, [(7, "a b"), (7, "a b"), (None, "c")]), path)).collect()
+    assert sorted((r.doc_id is not None, r.start) for r in again) == [(False, 0), (True, 2), (True, 5)]
+
+
+def test_token_blocks_know_their_table():
+    block = ans.pack_block([3, None], [1, 4], b"rest", 77)
+    assert ans.unpack_block(block, 77) == ([3, None], [1, 4], b"rest")
+    with pytest.raises(ValueError, match="another table"):
+        ans.unpack_block(block, 78)
+    with pytest.raises(ValueError, match="damaged"):
+        ans.unpack_block(block[:22] + bytes([block[22] ^ 1]) + block[23:], 77)
 
 
 def test_karmarkar_karp():
@@ -105,13 +120,10 @@ def test_karmarkar_karp():
     sizes = rnd.randint(1, 1000, 500)
     sums, part = sharding.difference_groups(sizes, 7)
     assert np.array_equal(np.bincount(part, sizes, 7).astype(int)[np.argsort(-np.bincount(part, sizes, 7))], np.sort(sums)[::-1]) and sums.max() - sums.min() < 10
-    vectors = [rnd.randint(0, 100, 4) for _ in range(9)]
-    total, moved = sharding.difference(vectors)
-    again = np.zeros(4, int)
-    for v, m in zip(vectors, moved, strict=True):
-        assert sorted(m) == [0, 1, 2, 3]
-        np.add.at(again, m, v)
-    assert np.array_equal(again, total)
+    base = np.array([0, 5000, 100, 0, 0, 0, 3000])
+    sums, part = sharding.difference_groups(sizes[:60], 7, base)
+    assert np.array_equal(np.bincount(part, sizes[:60], 7).astype(int) + base, sums) and sums.max() - sums.min() < 200
+    assert sharding.difference_groups(np.zeros(0, np.int64), 3, np.array([3, 1, 2]))[0].tolist() == [3, 1, 2]
 
 
 def test_shards(spark, texts):
@@ -128,14 +140,31 @@ def test_shards(spark, texts):
     assert all(len(v) == 1 for v in groups.values())
 
 
+@pytest.mark.parametrize("copies", [50, 4000])
+def test_shards_are_even(spark, copies):
+    rnd = random.Random(8)
+    rows = [(i, "w" * rnd.randint(0, 400) + str(i)) for i in range(3000)] + [(5000 + i, "a copy " * 40) for i in range(copies)]
+    text = dict(rows)
+    got = sharding.shards(spark, frame(spark, rows), k=6, unit_groups=150).collect()
+    hot = {r.shard for r in got if r.doc_id >= 5000}
+    assert len(got) == len(rows) and len(hot) == 1
+    sizes = [sum(r["size"] for r in got if r.shard == s) for s in range(6)]
+    if copies == 4000:  # larger than a fair share: alone, and the others share the rest
+        assert {r.shard for r in got if r.doc_id < 5000} == set(range(6)) - hot
+        sizes = [n for s, n in enumerate(sizes) if s not in hot]
+    assert max(sizes) - min(sizes) < 40
+    assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
+    for s in range(6):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_bpe_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     rnd = random.Random(3)
-    pool = "abcdefghijklmnopqrstuvwxyzABCDEÀÉßäöüñ 's't'll0123456789.,!?-_\n\t'\"#$%&\xa0\x85\x1c\x1f²½ªİıſΣςΑ中文あア한국🙂́ ﬁ\x00<|endoftext|>"
-    rows = dict(texts) | {1000 + i: "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 60))) for i in range(300)}
+    rows = dict(texts) | {1000 + i: "".join(rnd.choice(POOL) for _ in range(rnd.randint(0, 60))) for i in range(300)}
     got = by_id(bpe.encode(frame(spark, rows.items()), path))
     digests = by_id(bpe.encode_digests(frame(spark, rows.items()), path))
     for i, x in rows.items():
@@ -170,6 +199,28 @@ def test_decontamination(spark, texts, block):
     assert {r.doc_id for r in kept.collect()} == {i for i, x in rows.items() if not decontaminate.brute_force(x, items)[1]}
 
 
+def test_decontamination_tells_rows_apart(spark):
+    rows = [(1, "one two three"), (1, "one two three"), (1, "nothing"), (None, "two three"), (None, None), (2, "four"), (None, "two three")]
+    bench = spark.createDataFrame([(1, "two three"), (1, "four"), (2, "three"), (None, "one")], "item_id long, text string")
+    seen = []
+    for block in (4, 1 << 25):
+        got = decontaminate.contamination(frame(spark, rows), bench, block_bytes=block).collect()
+        seen.append(sorted((r.doc_id or 0, r.n_words, str(r.spans), str(r["items"])) for r in got))
+        kept = decontaminate.remove_contaminated(frame(spark, rows), bench, block_bytes=block)
+        assert sorted(r.text or "" for r in kept.collect()) == ["", "nothing"]
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+    assert seen[0].count((1, 3, "[[0, 3]]", "['1', '2']")) == 2 and seen[0].count((0, 2, "[[0, 2]]", "['1', '2']")) == 2
+
+
+def test_suffix_dedup_of_repeated_rows(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(5, long), (5, long), (5, long), (6, long), (4, "x" * 99), (4, "x" * 99), (None, "y" * 120)]
+    for parts in (1, 2, 5):
+        got = suffix_dedup.remove_repeats(spark, frame(spark, rows).repartition(parts), window=100).collect()
+        n = len(long)
+        assert sorted(sum(b - a for a, b in r.spans) for r in got) == sorted([0, n, n, n, 0, 0, 119])
+
+
 def test_suffix_dedup(spark, texts):
     for window, k, hot in ((100, 40, 8192), (20, 8, 2)):
         got = by_id(suffix_dedup.remove_repeats(spark, frame(spark, texts.items()).repartition(3), window=window, k=k, hot=hot))
@@ -184,6 +235,43 @@ def test_jaccard_join(spark, texts):
         assert {i: (got[i].n_shingles, got[i].component_id) for i in texts} == want
 
 
+def test_jaccard_join_of_many_near_copies(spark, monkeypatch):
+    """A group's pairs follow its size, not its square, and no link of it is lost."""
+    rnd = random.Random(12)
+    base = words(rnd, 120).split(" ")
+    rows = {}
+    for i in range(1500):
+        w = list(base)
+        if i % 3:
+            w[rnd.randrange(len(w))] = f"own{i}"
+        rows[i] = " ".join(w)
+    rows |= {2000 + i: words(rnd, 40) for i in range(20)} | {3000: " ".join(base[:60]), 3001: " ".join(base[:59])}
+    made = []
+    verified = jaccard_join._Pairs.verified
+    monkeypatch.setattr(jaccard_join._Pairs, "verified", lambda self, pairs, name: made.append(pairs.count()) or verified(self, pairs, name))
+    got = by_id(jaccard_join.near_duplicates(spark, frame(spark, rows.items()), 3, 90, 100))
+    assert sum(made) < 6 * 1000, made
+    want = jaccard_join.brute_force({i: rows[i] for i in [*range(0, 1500, 7), *range(2000, 2020), 3000, 3001]}, 3, 90, 100)
+    assert {got[i].component_id for i in range(1500)} == {0} and all(got[i].component_id == i for i in range(2000, 2020))
+    assert {got[i].n_shingles for i in want} == {n for n, _ in want.values()} and got[3001].component_id == got[3000].component_id == 3000
+
+
+def test_jaccard_join_rows(spark):
+    rows = [(5, "a b c d"), (5, "a b c d"), (5, "x y z q"), (None, "a b c d"), (None, "n o p"), (None, None), (3, "A b c  d"), (7, ""), (8, "u" * 200_000 + " v w x")]
+    got = jaccard_join.near_duplicates(spark, frame(spark, rows), 3, 90, 100).collect()
+    seen = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
+    assert seen == sorted([(5, 2, 3), (5, 2, 3), (5, 2, 5), (None, 2, 3), (None, 1, None), (None, 0, None), (3, 2, 3), (7, 0, 7), (8, 2, 8)], key=str)
+
+
+def test_bitmaps_bound_the_difference():
+    rnd = np.random.RandomState(3)
+    for _ in range(200):
+        a, b = (np.unique(rnd.randint(0, 1 << 62, rnd.randint(1, 300)).astype(np.uint64)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: rnd.randint(0, len(a) + 1)], b]))
+        bits = jaccard_join.bitmaps(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
+        assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(np.setxor1d(a, b))
+
+
 def test_toxicity(spark):
     rnd = random.Random(9)
     plain = ["".join(rnd.choice(["ka", "lo", "mi", "ne", "ru"]) for _ in range(rnd.randint(1, 4))) for _ in range(400)]
