@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
-from quarrylog.llm.common import shared_dir
+from quarrylog.llm.common import free_name, shared_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; a document of which nothing but blanks is left goes, n_chars follows the text."""
     out = line_dedup.remove_repeated_lines(spark, docs)
-    out = out.where(F.col("__removed").isNull() | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
+    changed = F.col(out.columns[-1]).isNotNull()
+    out = out.where(~changed | (F.trim(F.translate("text", "\t\r\n", "   ")) != ""))
     if "n_chars" in docs.columns:
-        changed = F.col("__removed").isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
@@ -38,8 +38,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
     groups = jaccard_join.near_duplicates(spark, docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    name = free_name(docs, "gone")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
