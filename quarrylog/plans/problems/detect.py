@@ -13,7 +13,8 @@ CHUNK = 1 << 18
 
 EVENTS = (
     "source_id string, event_no int, kind int, start long, `end` long, anchor long, pid long, process string, quality int, fingerprint string, subject string, "
-    "evidence int, outcome int, boundary int, anchor_ts long, origin string, facts array<struct<line:long,role:string,priority:int>>"
+    "evidence int, outcome int, boundary int, anchor_ts long, origin string, instance int, facts_total int, "
+    "facts array<struct<line:long,role:string,priority:int,code:string,rule:string,format:string,provenance:string>>"
 )
 _COLUMNS = ("line_no", "tag", "message", "level", "pid", "raw_len", "provenance", "buffer", "packed_ts", "segment", "in_segment_ms")
 
@@ -46,9 +47,12 @@ def _line(r: dict) -> Line:
     return Line(line=r["line_no"], tag=r["tag"], message=r["message"], level=r["level"], pid=r["pid"], raw_len=r["raw_len"] or 0, provenance=r["provenance"], buffer=r["buffer"], packed_ts=r["packed_ts"], segment=r["segment"], ms=r["in_segment_ms"])
 
 
-def event_rows(source_id: str, events) -> list[tuple]:
+_FACT = ("line", "role", "priority", "code", "rule", "format", "provenance")
+
+
+def event_rows(source_id: str, events, first: int = 0) -> list[tuple]:
     return [
-        (source_id, i, e.kind, e.start, e.end, e.anchor, e.pid, e.process, e.quality, e.fingerprint, e.subject, e.evidence, e.outcome, e.boundary, e.anchor_ts, e.source, [{"line": a, "role": b, "priority": c} for a, b, c in e.facts])
+        (source_id, first + i, e.kind, e.start, e.end, e.anchor, e.pid, e.process, e.quality, e.fingerprint, e.subject, e.evidence, e.outcome, e.boundary, e.anchor_ts, e.source, e.instance, e.facts_total, [{k: getattr(f, k) for k in _FACT} for f in e.facts])
         for i, e in enumerate(events)
     ]
 
@@ -57,8 +61,9 @@ def _fold(batches):
     """Lines come sorted by source and line; a fold is closed when the source changes."""
     import pyarrow as pa
 
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("line", pa.int64()), ("role", pa.string()), ("priority", pa.int32())]))]
-    names = ["source_id", "event_no", "kind", "start", "end", "anchor", "pid", "process", "quality", "fingerprint", "subject", "evidence", "outcome", "boundary", "anchor_ts", "origin", "facts"]
+    fact = pa.struct([(k, pa.int64() if k == "line" else pa.int32() if k == "priority" else pa.string()) for k in _FACT])
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(fact)]
+    names = ["source_id", "event_no", "kind", "start", "end", "anchor", "pid", "process", "quality", "fingerprint", "subject", "evidence", "outcome", "boundary", "anchor_ts", "origin", "instance", "facts_total", "facts"]
 
     def table(rows):
         cols = list(zip(*rows, strict=True)) or [[] for _ in names]

@@ -8,7 +8,8 @@ object is the state of the streaming operator.
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from typing import NamedTuple
 
 from . import rules as R
 
@@ -16,10 +17,31 @@ JAVA_LINES, JAVA_BYTES, JAVA_ACTIVE, JAVA_UNMATCHED = 512, 128 << 10, 32, 32
 ANR_LINES, ANR_BYTES, ANR_ACTIVE, ANR_UNMATCHED = 512, 256 << 10, 16, 16
 TOMB_LINES, TOMB_BYTES, TOMB_LINE, TOMB_UNMATCHED = 256, 64 << 10, 16 << 10, 8
 KERNEL_LINES, KERNEL_BYTES, KERNEL_ACTIVE, KERNEL_UNMATCHED = 512, 512 << 10, 8, 16
-MAX_FRAMES, MAX_DEATHS, ATTACH_LINES, CLOCK_MS = 3, 64, 4096, 60_000
+MAX_FRAMES, MAX_FACTS, MAX_DEATHS, ATTACH_LINES, CLOCK_MS = 3, 8, 64, 4096, 60_000
+#: Lines after which nothing can change an event: what it is paired with, what is attached to it, and what those depend on.
+HOLD_LINES = 4 * ATTACH_LINES + 512
 PAIR_LINES = {R.JAVA_CRASH: 512, R.JAVA_OOM: 512, R.ANR: 512, R.NATIVE_CRASH: 4096}
 
 
+class Fact(NamedTuple):
+    """What a line is to an event: its role, and where the rule that found it read it."""
+
+    line: int
+    role: str
+    priority: int
+    rule: str
+    format: str
+    provenance: str
+
+    @property
+    def code(self) -> str:
+        return R.fact_code(self.rule, self.role)
+
+
+#: Priority of each role: grammar first, then outcomes, then what links accounts, then details.
+PRIORITY = {"Primary": 0, "ProcessIdentity": 0, "ExceptionType": 0, "Signal": 0, "Recovery": 1, "KillIssued": 1, "KillRequest": 1, "Restart": 1}
+
+
 @dataclass
 class Line:
     line: int
@@ -37,6 +59,13 @@ class Line:
     def known(self, buffer: str) -> bool:
         return self.provenance == "known" and self.buffer == buffer
 
+    def origin(self) -> str:
+        """Provenance in one word: Known(Main), Inferred(Events) or Unknown."""
+        return "Unknown" if self.provenance == "unknown" or not self.buffer else f"{self.provenance.title()}({self.buffer.title()})"
+
+    def facts(self, rule: str, format: str, *roles: str) -> list[Fact]:
+        return [Fact(self.line, r, PRIORITY.get(r, 3), rule, format, self.origin()) for r in roles]
+
 
 @dataclass
 class Event:
@@ -58,27 +87,41 @@ class Event:
     subject: str | None = None
     facts: list = field(default_factory=list)
     fingerprint: str = ""
+    instance: int = 0
+    facts_total: int = 0
 
     def close(self) -> Event:
+        """Keeps the eight best facts, by priority, line, rule and role, mere support last; a cut is marked at the boundary."""
         self.fingerprint = R.fingerprint(self.kind, self.quality, self.process, self.tokens)
-        self.facts = sorted({(f[0], f[1], f[2]): f for f in self.facts}.values(), key=lambda f: (f[2], f[0], f[1]))[:8]
+        order = lambda f: (f.priority, f.role == "Supporting", f.line, R.RULES.index(f.rule), R.ROLES.index(f.role))
+        self.facts = sorted(dict.fromkeys(self.facts), key=order)
+        self.facts_total = len(self.facts)
+        if self.facts_total > MAX_FACTS:
+            self.boundary |= R.REFS_TRUNCATED
+            self.facts = self.facts[:MAX_FACTS]
         return self
 
 
+def _outcome(facts: list[Fact]) -> list[Fact]:
+    """Facts that tell how an event ended."""
+    return [f._replace(priority=1) for f in facts]
+
+
 class Pending:
     """A multi-line candidate: where it began, what it has, and how long it may go on."""
 
-    def __init__(self, x: Line, kind: str, pid: int):
+    def __init__(self, x: Line, kind: str, pid: int, rule: str, format: str = "AospText"):
+        self.rule, self.format = rule, format
         self.kind, self.pid, self.start, self.last, self.bytes, self.unmatched = kind, pid, x.line, x.line, x.raw_len, 0
         self.ts, self.segment, self.ms = x.packed_ts or 0, x.segment, x.ms
-        self.facts = [(x.line, "primary", 0)]
+        self.facts = x.facts(rule, format, "Primary")
         self.data: dict = {"frames": []}
 
     def touch(self, x: Line):
         self.last, self.unmatched = x.line, 0
 
-    def fact(self, x: Line, role: str, priority: int):
-        self.facts.append((x.line, role, priority))
+    def fact(self, x: Line, role: str):
+        self.facts += x.facts(self.rule, self.format, role)
 
 
 class Fold:
@@ -93,12 +136,37 @@ class Fold:
         self.starts: list[tuple[int, int]] = []
         self.observed: list[dict] = []  # deaths and kill requests that may be attached
         self.events: list[Event] = []
+        self.instances: dict[int, tuple[str, int]] = {}  # the process that a pid stands for, and its number
+        self.gone: dict[tuple[int, str], dict[int, int]] = {}  # numbers of processes that died, and where
+        self.started = 0
         self.at = 0
+        self.given: tuple | None = None  # place in order of the last event given out
+        self.numbered = 0
 
     # ---------------------------------------------------------------- events
 
     def emit(self, **k):
-        self.events.append(Event(**k))
+        e = Event(**k)
+        if not e.instance and e.pid and e.process:
+            e.instance = self._instance(e.pid, e.process)
+        self.events.append(e)
+
+    def _instance(self, pid: int, name: str) -> int:
+        """The number of the process that runs, or ran, under this pid and name; a new one where nothing is known of the pid.
+
+        0 where the pid now stands for another name, or several processes of that pid and name have died."""
+        if pid in self.instances:
+            known, number = self.instances[pid]
+            return number if known == name else 0
+        past = [n for n, line in self.gone.get((pid, name), {}).items() if self.at - line <= ATTACH_LINES]
+        if past:
+            return past[0] if len(past) == 1 else 0
+        return self._begin(pid, name)
+
+    def _begin(self, pid: int, name: str) -> int:
+        self.started += 1
+        self.instances[pid] = (name, self.started)
+        return self.started
 
     # ---------------------------------------------------------------- the order of a line
 
@@ -131,6 +199,7 @@ class Fold:
                 self.kernel.remove(p)
 
     def finish(self) -> list[Event]:
+        """Closes what is open; the events that `settle` hasn't given out."""
         for held, close in ((self.java, self._close_java), (self.anr, self._close_anr)):
             for p in sorted(held, key=lambda p: p.start):
                 close(p, R.BY_INPUT)
@@ -138,10 +207,33 @@ class Fold:
         if self.tomb is not None:
             self._close_tomb(R.BY_INPUT)
         self.kernel.clear()
+        return self._give(None)
+
+    def settle(self) -> list[Event]:
+        """Events that lines to come can't change any more; then forgets what only they needed. The rest waits for `finish`."""
+        open_from = min([self.at, *(p.start for p in (*self.java, *self.anr, *self.kernel)), *([self.tomb.start] if self.tomb else [])])
+        out = self._give(open_from - HOLD_LINES)
+        old = open_from - 2 * HOLD_LINES
+        self.events = [e for e in self.events if e.end >= old]
+        self.observed = [o for o in self.observed if o["line"] >= old]
+        self.starts = [(line, pid) for line, pid in self.starts if line >= old]
+        return out
+
+    def _give(self, before: int | None) -> list[Event]:
+        """Events in order, paired and with what is attached, that end before a line and weren't given out yet."""
+        kept = self.events
+        self.events = [replace(e, facts=list(e.facts)) for e in kept]
         self._pair()
         self._attach()
-        self.events.sort(key=lambda e: (e.end, e.start, e.kind))
-        return [e.close() for e in self.events]
+        out = []
+        for e in sorted(self.events, key=lambda e: (e.end, e.start, e.kind)):
+            place = (e.end, e.start, e.kind)
+            if (before is None or e.end < before) and (self.given is None or place > self.given):
+                out.append(e.close())
+        self.events = kept
+        if out:
+            self.given = (out[-1].end, out[-1].start, out[-1].kind)
+        return out
 
     # ---------------------------------------------------------------- Java
 
@@ -154,7 +246,7 @@ class Fold:
         if x.tag in ("art", "dalvikvm") and pid and ("java.lang.OutOfMemoryError" in m or m.startswith(("Throwing OutOfMemoryError", "Out of memory on a "))):
             p = next((p for p in self.java if p.pid == pid), None)
             if p:
-                p.fact(x, "supporting", 3)
+                p.fact(x, "Supporting")
                 p.touch(x)
                 return
         if x.tag == "AndroidRuntime" and x.level in ("E", "F") and pid:
@@ -168,7 +260,7 @@ class Fold:
                     old = min(self.java, key=lambda p: p.last)
                     self.java.remove(old)
                     self._close_java(old, R.BY_LIMIT)
-                self.java.append(Pending(x, kind, pid))
+                self.java.append(Pending(x, kind, pid, "JavaUncaughtV1"))
                 return
         if x.tag == "AndroidRuntime" and pid:
             p = next((p for p in self.java if p.pid == pid), None)
@@ -208,7 +300,7 @@ class Fold:
                     d["bad"] = True
                 elif "process" not in d:
                     d["process"] = q[0]
-                    p.fact(x, "process identity", 0)
+                    p.fact(x, "ProcessIdentity")
             p.touch(x)
             return True
         name = R.java_throwable(m)
@@ -217,18 +309,18 @@ class Fold:
             if not suppressed or "type" not in d:
                 d["type"] = name
                 d["oom"] = d.get("oom") or name.rsplit(".", 1)[-1] == "OutOfMemoryError"
-                p.facts = [f for f in p.facts if f[1] != "exception type"]
-                p.fact(x, "exception type", 0)
+                p.facts = [f for f in p.facts if f.role != "ExceptionType"]
+                p.fact(x, "ExceptionType")
                 if cause:
                     d["frames"] = []
-                    p.facts = [f for f in p.facts if f[1] != "stack frame"]
+                    p.facts = [f for f in p.facts if f.role != "StackFrame"]
             p.touch(x)
             return True
         frame = R.java_frame(m)
         if frame:
             if len(d["frames"]) < MAX_FRAMES:
                 d["frames"].append(frame)
-                p.fact(x, "stack frame", 3)
+                p.fact(x, "StackFrame")
             p.touch(x)
             return True
         if self._elided(m):
@@ -240,8 +332,10 @@ class Fold:
         d = p.data
         if "type" not in d or d.get("bad") or (p.kind == "normal" and "process" not in d):
             return
-        frames = d["frames"]
-        self.emit(kind=R.JAVA_OOM if d.get("oom") else R.JAVA_CRASH, start=p.start, end=p.last, anchor=p.start, pid=p.pid, process=d.get("process") if p.kind == "normal" else None, quality=R.FULL_STACK if frames else R.TYPE_ONLY, tokens=[(R.EXCEPTION_TYPE, d["type"]), *((R.FRAME, f) for f in frames)], source="body", evidence=R.PRIMARY | (R.MULTILINE if p.last > p.start else 0), boundary=boundary, anchor_ts=p.ts, segment=p.segment, ms=p.ms, subject=d["type"], facts=p.facts)
+        frames, facts = d["frames"], p.facts
+        if d.get("oom"):
+            facts = [f._replace(rule="JavaOomV1") for f in facts]
+        self.emit(kind=R.JAVA_OOM if d.get("oom") else R.JAVA_CRASH, start=p.start, end=p.last, anchor=p.start, pid=p.pid, process=d.get("process") if p.kind == "normal" else None, quality=R.FULL_STACK if frames else R.TYPE_ONLY, tokens=[(R.EXCEPTION_TYPE, d["type"]), *((R.FRAME, f) for f in frames)], source="body", evidence=R.PRIMARY | (R.MULTILINE if p.last > p.start else 0), boundary=boundary, anchor_ts=p.ts, segment=p.segment, ms=p.ms, subject=d["type"], facts=facts)
 
     # ---------------------------------------------------------------- structured records
 
@@ -259,7 +353,7 @@ class Fold:
             file = r["file"].rsplit("/", 1)[-1]
             kind = R.JAVA_OOM if type_name.rsplit(".", 1)[-1] == "OutOfMemoryError" else R.JAVA_CRASH
             quality, tokens = (R.TYPE_FILE if file else R.TYPE_ONLY), [(R.EXCEPTION_TYPE, type_name), *([(R.FIELD, file)] if file else [])]
-        self.emit(kind=kind, start=x.line, end=x.line, anchor=x.line, pid=r["pid"], process=r["name"], quality=quality, tokens=tokens, source="structured", evidence=R.PRIMARY | R.STRUCTURED, outcome=R.RECOVERABLE if r["recoverable"] else 0, segment=x.segment, ms=x.ms, subject=None if native else type_name, facts=[(x.line, "primary", 0), (x.line, "process identity", 0)])
+        self.emit(kind=kind, start=x.line, end=x.line, anchor=x.line, pid=r["pid"], process=r["name"], quality=quality, tokens=tokens, source="structured", evidence=R.PRIMARY | R.STRUCTURED, outcome=R.RECOVERABLE if r["recoverable"] else 0, segment=x.segment, ms=x.ms, subject=None if native else type_name, facts=x.facts("ManagedAmCrashV1", "EventLogShapedText", "Primary", "ProcessIdentity"))
 
     # ---------------------------------------------------------------- unresponsive
 
@@ -267,7 +361,7 @@ class Fold:
         r = self._record(x, "am_anr")
         if r is not None:
             reason = R.anr_reason(r["reason"])
-            self._emit_anr(x.line, x.line, x, r["pid"], r["name"], reason, "structured", 0, [(x.line, "primary", 0), (x.line, "process identity", 0), (x.line, "reason", 3)])
+            self._emit_anr(x.line, x.line, x, r["pid"], r["name"], reason, "structured", 0, x.facts("AnrActivityManagerV1", "EventLogShapedText", "Primary", "ProcessIdentity", "Reason"))
             return
         m, pid = x.message, R.pid_of(x.pid)
         if x.tag == "ActivityManager" and pid and (g := re.match(r"ANR in\s+([A-Za-z0-9.:_-]+)(?=\s|$)", m, re.A)):
@@ -279,7 +373,7 @@ class Fold:
                 old = min(self.anr, key=lambda p: p.last)
                 self.anr.remove(old)
                 self._close_anr(old, R.BY_LIMIT)
-            p = Pending(x, "anr", pid)
+            p = Pending(x, "anr", pid, "AnrActivityManagerV1")
             p.data["process"] = g[1]
             self.anr.append(p)
             return
@@ -311,12 +405,12 @@ class Fold:
             if p.data.setdefault("victim", v) != v:
                 p.data["bad"] = True
             else:
-                p.fact(x, "process identity", 0)
+                p.fact(x, "ProcessIdentity")
             p.touch(x)
             return True
         if m.startswith("Reason: ") and R.trim(m[8:]):
             p.data["reason"] = R.anr_reason(m[8:])
-            p.fact(x, "reason", 3)
+            p.fact(x, "Reason")
             p.touch(x)
             return True
         return False
@@ -339,10 +433,10 @@ class Fold:
             self._libc(x)
             return
         tomb_tag = x.tag in ("DEBUG", "debuggerd", "")
-        if tomb_tag and m.startswith(" ".join(["***"] * 8)):
+        if tomb_tag and m.startswith(R.STARS):
             if self.tomb is not None:
                 self._close_tomb(0)
-            self.tomb = Pending(x, "tombstone", R.pid_of(x.pid) or 0)
+            self.tomb = Pending(x, "tombstone", R.pid_of(x.pid) or 0, "NativeTombstoneV1", "TombstoneShapedText")
             return
         p = self.tomb
         if p is None or not (not x.tag or p.pid == 0 or R.pid_of(x.pid) == p.pid):
@@ -368,7 +462,7 @@ class Fold:
         if name and re.search("[A-Za-z]", name[1]):
             if "process" not in d:
                 d["process"] = name[1]
-                p.fact(x, "process identity", 0)
+                p.fact(x, "ProcessIdentity")
             hit = True
         if m.startswith("signal "):
             s = R.fatal_signal(m)
@@ -377,17 +471,17 @@ class Fold:
             else:
                 d["signal"] = s
                 d["anchor"] = x.line
-                p.fact(x, "signal", 0)
+                p.fact(x, "Signal")
             hit = True
         if m in ("recoverable: true", "Recoverable: true"):
             d["recoverable"] = hit = True
-            p.fact(x, "recovery", 1)
+            p.fact(x, "Recovery")
         if m == "backtrace:":
             d["trace"] = hit = True
-        elif d.get("trace") and (f := R.native_frame(m, full_path=True)):
+        elif d.get("trace") and (f := R.native_detail(m)):
             if len(d["frames"]) < MAX_FRAMES:
                 d["frames"].append(f)
-                p.fact(x, "backtrace frame", 3)
+                p.fact(x, "BacktraceFrame")
             hit = True
         if hit:
             p.touch(x)
@@ -407,7 +501,7 @@ class Fold:
         if not pid or s is None or (s["pid"] and s["pid"] != pid):
             return
         process = s["process"] or (self.active.get(pid) or {}).get("name")
-        facts = [(x.line, "primary", 0), (x.line, "signal", 0)] + ([(x.line, "process identity", 0)] if s["process"] else [])
+        facts = x.facts("NativeLibcSignalV1", "AospText", "Primary", "Signal", *(["ProcessIdentity"] if s["process"] else []))
         self.emit(kind=R.NATIVE_CRASH, start=x.line, end=x.line, anchor=x.line, pid=pid, process=process, quality=R.SIGNAL_ONLY, tokens=[(R.SIGNAL, s["signal"]), (R.FIELD, s["code"])], source="signal", anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=s["signal"], facts=facts)
 
     # ---------------------------------------------------------------- memory killers
@@ -425,7 +519,7 @@ class Fold:
             return
         if not g or not reason:
             return
-        self.emit(kind=R.LMK_KILL, start=x.line, end=x.line, anchor=x.line, pid=int(g[2]), process=g[1], quality=R.STRUCTURED_FIELDS, tokens=[(R.MECHANISM, mechanism), (R.FIELD, reason)], source="direct", outcome=R.KILL_ISSUED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=reason, facts=[(x.line, "primary", 0), (x.line, "process identity", 0), (x.line, "kill issued", 1)])
+        self.emit(kind=R.LMK_KILL, start=x.line, end=x.line, anchor=x.line, pid=int(g[2]), process=g[1], quality=R.STRUCTURED_FIELDS, tokens=[(R.MECHANISM, mechanism), (R.FIELD, reason)], source="direct", evidence=R.PRIMARY | R.STRUCTURED, outcome=R.KILL_ISSUED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=reason, facts=x.facts("LmkdKillV1", "AospText" if x.tag == "lmkd" else "KernelShapedText", "Primary", "ProcessIdentity", "KillIssued"))
 
     def _kernel(self, x: Line) -> bool:
         if x.tag not in ("kernel", "") or not x.known("kernel"):
@@ -444,7 +538,7 @@ class Fold:
                         p.kind, p.data["mechanism"] = "both", mechanism
                         p.touch(x)
                         return True
-            p = Pending(x, "invoked" if invoked else "constraint", 0)
+            p = Pending(x, "invoked" if invoked else "constraint", 0, "KernelOomKillV1", "KernelShapedText")
             p.data["mechanism"] = mechanism
             if len(self.kernel) == KERNEL_ACTIVE:
                 self.kernel.remove(min(self.kernel, key=lambda p: p.start))
@@ -462,7 +556,10 @@ class Fold:
         return False
 
     def _emit_kernel(self, start: int, x: Line, g, mechanism: str):
-        self.emit(kind=R.KERNEL_OOM_KILL, start=start, end=x.line, anchor=x.line, pid=int(g[1]), process=g[2], quality=R.STRUCTURED_FIELDS, tokens=[(R.MECHANISM, mechanism)], source="direct", evidence=R.PRIMARY | (R.MULTILINE if x.line > start else 0), outcome=R.KILL_ISSUED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=mechanism, facts=[(x.line, "primary", 0), (x.line, "process identity", 0), (x.line, "kill issued", 1)])
+        facts = x.facts("KernelOomKillV1", "KernelShapedText", "Primary", "ProcessIdentity", "KillIssued")
+        if start < x.line:  # the line that opened it is kept as evidence
+            facts += [f._replace(line=start) for f in x.facts("KernelOomKillV1", "KernelShapedText", "Supporting")]
+        self.emit(kind=R.KERNEL_OOM_KILL, start=start, end=x.line, anchor=x.line, pid=int(g[1]), process=g[2], quality=R.STRUCTURED_FIELDS, tokens=[(R.MECHANISM, mechanism)], source="direct", evidence=R.PRIMARY | R.STRUCTURED | (R.MULTILINE if x.line > start else 0), outcome=R.KILL_ISSUED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=mechanism, facts=facts)
 
     # ---------------------------------------------------------------- lifecycle
 
@@ -478,37 +575,50 @@ class Fold:
                 self._death(x, int(g[2]), g[1], None)
         elif x.tag in ("am_proc_start", "am_proc_died", "am_kill"):
             r = R.event_record(x.tag, x.message)
-            if r is None:
+            if r is None or x.provenance == "unknown" or x.buffer != "events":
                 return
             if x.tag == "am_kill":
-                self.observed.append({"what": "kill", "line": x.line, "pid": r["pid"], "process": r["name"], "segment": x.segment, "ms": x.ms})
+                self.observed.append({"what": "kill", "fact": x.facts("AmKillRequestV1", "EventLogShapedText", "KillRequest")[0], "line": x.line, "pid": r["pid"], "process": r["name"], "segment": x.segment, "ms": x.ms})
+            elif x.tag == "am_proc_died":
+                self._death(x, r["pid"], r["name"], r["user"], independent=x.known("events"))
             elif x.known("events"):
-                if x.tag == "am_proc_died":
-                    self._death(x, r["pid"], r["name"], r["user"])
-                elif r["user"] is None or r["uid"] // 100_000 == r["user"]:
+                if r["user"] is None or r["uid"] // 100_000 == r["user"]:
                     self._start(x, r["pid"], r["name"], r["uid"], r["user"])
         elif x.tag == "Zygote" and (g := re.fullmatch(r"Process ([1-9][0-9]{0,9}) exited due to signal ([1-9][0-9]?) \(([A-Za-z0-9_-]+)\)", m)):
             who = self.active.get(int(g[1]))
             if who and who.get("uid") is not None and int(g[2]) <= 64:
-                self.emit(kind=R.SIGNAL_EXIT, start=x.line, end=x.line, anchor=x.line, pid=int(g[1]), process=who["name"], quality=R.STRUCTURED_FIELDS, tokens=[(R.RELATION, "signal-exit"), (R.FIELD, bytes([int(g[2])]))], source="direct", outcome=R.DEATH_OBSERVED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=g[3], facts=[(x.line, "primary", 0), (x.line, "process identity", 0), (x.line, "signal", 0), (x.line, "death", 1)])
+                self.emit(kind=R.SIGNAL_EXIT, start=x.line, end=x.line, anchor=x.line, pid=int(g[1]), process=who["name"], quality=R.STRUCTURED_FIELDS, tokens=[(R.RELATION, "signal-exit"), (R.FIELD, bytes([int(g[2])]))], source="direct", outcome=R.DEATH_OBSERVED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=g[3], facts=x.facts("SignalExitV1", "AospText", "Primary", "ProcessIdentity", "Signal") + _outcome(x.facts("SignalExitV1", "AospText", "Death")))
 
     def _start(self, x: Line, pid: int, name: str, uid: int, user: int | None):
         self.active[pid] = {"name": name, "uid": uid, "user": user}
+        self._begin(pid, name)
         self.starts.append((x.line, pid))
         for d in self.deaths:
             if d["name"] == name and d["uid"] == uid and (user is None or d["user"] is None or d["user"] == user):
                 self.deaths.remove(d)
-                self.emit(kind=R.PROCESS_RESTART, start=d["line"], end=x.line, anchor=x.line, pid=pid, process=name, quality=R.STRUCTURED_FIELDS, tokens=[(R.RELATION, "start-after-death")], source="direct", evidence=R.PRIMARY | R.MULTILINE, outcome=R.DEATH_OBSERVED | R.START_AFTER_DEATH, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject="start-after-death", facts=[(x.line, "primary", 0), (x.line, "process identity", 0), (d["line"], "death", 2), (x.line, "restart", 1)])
+                format = "EventLogShapedText" if x.tag == "am_proc_start" else "AospText"
+                facts = [d["fact"], *x.facts("ProcessRestartV1", format, "Primary", "ProcessIdentity"), *(f._replace(priority=2) for f in x.facts("ProcessRestartV1", format, "Restart"))]
+                records = "EventLogShapedText" in (format, d["fact"].format)
+                self.emit(kind=R.PROCESS_RESTART, start=d["line"], end=x.line, anchor=x.line, pid=d["pid"], process=name, quality=R.STRUCTURED_FIELDS, tokens=[(R.RELATION, "start-after-death")], source="direct", evidence=R.PRIMARY | R.CORRELATED | R.MULTILINE | (R.STRUCTURED if records else 0), outcome=R.DEATH_OBSERVED | R.START_AFTER_DEATH, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject="start-after-death", facts=facts, instance=d["instance"])
                 break
 
-    def _death(self, x: Line, pid: int, name: str, user: int | None):
-        self.observed.append({"what": "death", "line": x.line, "pid": pid, "process": name, "segment": x.segment, "ms": x.ms})
+    def _death(self, x: Line, pid: int, name: str, user: int | None, independent: bool = True):
+        """A record that is only inferred to be one may support a fault, but ends no process."""
+        format = "EventLogShapedText" if x.tag == "am_proc_died" else "AospText"
+        self.observed.append({"what": "death", "fact": _outcome(x.facts("ProcessDiedV1", format, "Death"))[0], "line": x.line, "pid": pid, "process": name, "segment": x.segment, "ms": x.ms})
+        if not independent:
+            return
+        if self.instances.get(pid, ("", 0))[0] == name:
+            self.gone = {k: v for k, v in self.gone.items() if self.at - max(v.values()) <= ATTACH_LINES} if len(self.gone) > 256 else self.gone
+            self.gone.setdefault((pid, name), {})[self.instances[pid][1]] = x.line
         who = self.active.get(pid)
         if who and who["name"] == name:
             del self.active[pid]
-            self.deaths.append({"line": x.line, "name": name, "uid": who["uid"], "user": who["user"] if user is None else user})
+            self.deaths.append({"line": x.line, "pid": pid, "fact": x.facts("ProcessRestartV1", format, "Death")[0]._replace(priority=2), "instance": self.instances.get(pid, ("", 0))[1], "name": name, "uid": who["uid"], "user": who["user"] if user is None else user})
             if len(self.deaths) > MAX_DEATHS:
                 self.deaths.pop(0)
+        if self.instances.get(pid, ("", 0))[0] == name:
+            del self.instances[pid]
 
     # ---------------------------------------------------------------- correlation
 
@@ -560,6 +670,7 @@ class Fold:
         best.outcome |= other.outcome
         best.boundary |= other.boundary
         best.anchor_ts = best.anchor_ts or other.anchor_ts
+        best.instance = best.instance or other.instance
         best.facts = a.facts + b.facts
         self.events[i] = best
 
@@ -585,10 +696,10 @@ class Fold:
             e = found[0][1]
             if o["what"] == "death":
                 e.outcome |= R.DEATH_OBSERVED | (R.CONFLICT if e.outcome & R.RECOVERABLE else 0)
-                e.facts.append((o["line"], "death", 1))
+                e.facts.append(o["fact"])
             else:
                 e.outcome |= R.KILL_REQUESTED
-                e.facts.append((o["line"], "kill request", 1))
+                e.facts.append(o["fact"])
             e.evidence |= R.CORRELATED
 
 

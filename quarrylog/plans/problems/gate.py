@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from quarrylog.functions.parsing import settle
 
+from .rules import STARS
+
 # Bits of the candidate mask.
 JAVA_FATAL, JAVA_OOM, ANR, LIFECYCLE, EVENT_LOG, NATIVE_CRASH, LMK, KERNEL_OOM, CONTINUATION = (1 << k for k in range(9))
 # Tags that may carry evidence.
 TAGS = ("AndroidRuntime", "art", "dalvikvm", "ActivityManager", "am_crash", "am_anr", "am_proc_start", "am_proc_died", "am_kill", "Zygote", "libc", "DEBUG", "debuggerd", "lmkd", "lowmemorykiller", "kernel")
 # Beginnings of lines that may continue a report.
 CONTINUATIONS = ("at ", "Caused by: ", "Suppressed: ", "... ", "Process: ", "PID: ", "pid: ", "Reason: ", "Subject: ", "Cmdline: ", "Abort message: ", "signal ", "backtrace:", ">>> ", "java.", "javax.", "kotlin.", "android.")
-STARS = " ".join(["***"] * 8)
 # Texts of the kernel's out-of-memory killer.
 KERNEL_TEXTS = ("invoked oom-killer:", "oom-kill:constraint=", "Out of memory: Killed process ", "Memory cgroup out of memory: Killed process ")
 

@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PAGE, DEFAULT_PAGE = 200, 100
+# UTF-8 bytes of a process and of a signature that are shown.
+PROCESS_BYTES, SIGNATURE_BYTES = 48, 80
 KEY = ["kind", "quality", "identity", "fingerprint"]
 SORTS = {"last": [("last_line", False), ("fingerprint", True)], "first": [("first_line", True), ("fingerprint", True)], "count": [("observed", False), ("last_line", False), ("fingerprint", True)]}
 
 
+def cut_bytes(name: str, limit: int):
+    """The longest beginning of a text that takes `limit` bytes of UTF-8 at most."""
+    most = F.expr(f"left({name}, array_max(filter(sequence({limit // 4}, {limit}), k -> octet_length(left({name}, k)) <= {limit})))")
+    return F.when(F.octet_length(name) <= limit, F.col(name)).otherwise(most)
+
+
 def with_identity(events: DataFrame) -> DataFrame:
     return events.withColumn("identity", F.when(F.coalesce(F.trim("process"), F.lit("")) == "", 1).otherwise(0))
 
@@ -23,8 +31,8 @@ def groups(events: DataFrame) -> DataFrame:
         F.max("anchor").alias("last_line"),
         F.min_by("anchor_ts", place).alias("first_ts"),
         F.max_by("anchor_ts", place).alias("last_ts"),
-        F.min_by(F.substring("process", 1, 48), place).alias("process"),
-        F.min_by(F.substring("subject", 1, 80), place).alias("signature"),
+        F.min_by(cut_bytes("process", PROCESS_BYTES), place).alias("process"),
+        F.min_by(cut_bytes("subject", SIGNATURE_BYTES), place).alias("signature"),
     )
 
 

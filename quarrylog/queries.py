@@ -365,7 +365,7 @@ def problems_stats(spark, sf_dir):
 @query(f"""WITH {_EVENTS} SELECT kind, count(*) AS n FROM (SELECT kind, unnest(range(CASE kind WHEN 0 THEN 4 ELSE 2 END)) FROM E) GROUP BY 1""")
 def problems_details(spark, sf_dir):
     facts = groups.details(detect.problems(_problem_rows(spark, sf_dir)))
-    return facts.where("role <> 'kill issued'").groupBy("kind").agg(F.count("*").alias("n"))
+    return facts.where("role <> 'KillIssued'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # --------------------------------------------------------------------------- normalised tokens

@@ -25,8 +25,9 @@ class Log:
 
     @staticmethod
     def open(spark: SparkSession, path: str, charset: str = "UTF-8", **kw) -> Log:
+        """Fields come from the decoded text; `raw` stays the file's own bytes, which exports write."""
         text = source.decode(source.read_lines(spark, path), charset)
-        return Log(spark, parsing.parse(text.drop("raw").withColumnRenamed("text", "raw"), whole=True), **kw)
+        return Log(spark, parsing.parse(text, raw="text", whole=True).drop("text"), **kw)
 
     def materialize(self, path: str) -> Log:
         self.rows.repartitionByRange("line_no").sortWithinPartitions("line_no").write.mode("overwrite").parquet(path)

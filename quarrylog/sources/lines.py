@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,16 +59,50 @@ def decode(lines: DataFrame, charset: str = "UTF-8", raw: str = "raw") -> DataFr
 BUFFERS = ("main", "system", "radio", "events", "crash", "kernel")
 
 
-def with_provenance(lines: DataFrame, spans: DataFrame, coverage: str = "static") -> DataFrame:
+#: Lines for which spans are looked up together.
+SPAN_CHUNK = 1 << 18
+
+
+@dataclass(frozen=True)
+class Coverage:
+    """What is known of an input as a whole: of a live capture the buffers it asked for, of a file nothing."""
+
+    buffers: frozenset[str] | None = None
+    start_truncated: bool = False
+
+    @staticmethod
+    def static() -> Coverage:
+        return Coverage()
+
+    @staticmethod
+    def live(buffers, start_truncated: bool = True) -> Coverage:
+        unknown = set(buffers) - set(BUFFERS)
+        if unknown:
+            raise ValueError(f"no such buffers: {sorted(unknown)}")
+        return Coverage(frozenset(buffers), start_truncated)
+
+    def may_hold(self, buffer: str) -> bool:
+        return self.buffers is None or buffer in self.buffers
+
+
+def with_provenance(lines: DataFrame, spans: DataFrame, coverage: Coverage = Coverage()) -> DataFrame:
     """Adds `buffer` and `provenance` (known, inferred, unknown) from spans (start_line, end_line, buffer; inclusive).
 
-    Spans don't overlap, so each line has one at most. A line outside them is inferred to be of `events` when its
-    message has the shape of a structured record, else unknown; text of dividers proves nothing.
+    Spans don't overlap, so each line has one at most; both sides are cut into chunks of lines and joined by those. A line
+    outside spans is inferred to be of `events` when it has the shape of a structured record and the input may hold that
+    buffer, else it is unknown; text of dividers proves nothing. Events and kernel lines of a live capture that didn't ask
+    for their buffer are unknown, whatever a span says.
     """
-    joined = lines.join(spans.select("start_line", "end_line", F.col("buffer").alias("buffer")), F.col("line_no").between(F.col("start_line"), F.col("end_line")), "left").drop("start_line", "end_line")
-    shape = F.col("tag").startswith("am_") & F.col("message").rlike(r"^\[.*\]$") if "tag" in lines.columns else F.lit(False)
-    inferred = F.when(shape, "inferred").otherwise("unknown")
-    return joined.withColumn("provenance", F.when(F.col("buffer").isNotNull(), "known").otherwise(inferred))
+    chunk = lambda c: F.floor(F.col(c) / SPAN_CHUNK)
+    cut = spans.select("start_line", "end_line", "buffer", F.explode(F.sequence(chunk("start_line"), chunk("end_line"))).alias("__chunk"))
+    inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
+    rows = lines.withColumn("__chunk", chunk("line_no")).alias("l").join(cut.alias("s"), (F.col("l.__chunk") == F.col("s.__chunk")) & inside, "left").select("l.*", "s.buffer").drop("__chunk")
+    refused = [b for b in ("events", "kernel") if not coverage.may_hold(b)]
+    rows = rows.withColumn("buffer", F.when(~F.col("buffer").isin(*refused), F.col("buffer"))) if refused else rows
+    shape = F.col("tag").startswith("am_") & F.col("message").rlike(r"^\[.*\]$") if "tag" in lines.columns and coverage.may_hold("events") else F.lit(False)
+    shape = shape & F.col("buffer").isNull()
+    provenance = F.when(F.col("buffer").isNotNull(), "known").when(shape, "inferred").otherwise("unknown")
+    return rows.select(*lines.columns, F.when(shape, "events").otherwise(F.col("buffer")).alias("buffer"), provenance.alias("provenance"))
 
 
 def check_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
