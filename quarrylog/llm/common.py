@@ -8,7 +8,7 @@ import time
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a slice of its own.
@@ -188,31 +188,29 @@ def counts_by_text(owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def components(spark: SparkSession, stage: Stage, edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
-    """Smallest member reachable from each vertex of `edges` (a long, b long): columns id, component.
+    """Smallest member reachable from each vertex of `edges` (columns a and b): columns id, component.
 
     Alternates large-star and small-star over a written table of edges, with one row for each edge at
-    most in every round, so no group is gathered anywhere; a round ends the job once no edge changes.
+    most in every round, so no group is gathered anywhere; it ends once all that is left are stars.
+    What a hub's rows are joined with is written first, so that they may be split among tasks.
     """
     e = edges.select("a", "b").where("a <> b")
     e = stage.keep(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    last = None
-    for k in range(1, max_rounds + 1):
+    for k in range(max_rounds):
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
-        # what is joined back is written first, so that a hub's rows may be split among tasks
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stage.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-low-{k}")
         large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage.keep(large, f"{name}-large-{k}")
-        # small star: u and its smaller neighbours are tied to the smallest neighbour
-        least = stage.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least-{k}")
-        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = stage.keep(small.where("u <> v").distinct(), f"{name}-{k}")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-least-{k}", f"{name}-{k - 1}"):
+        # small star: u and its smaller neighbours are tied to the smallest neighbour; a vertex has few of them by now
+        least = F.min("v").over(Window.partitionBy("u"))
+        small = large.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = stage.keep(small.where("u <> v").distinct(), f"{name}-{k + 1}")
+        for old in (f"{name}-low-{k}", f"{name}-large-{k}", f"{name}-{k}"):
             stage.drop(old)
-        if tuple(state) == last:
-            break
-        last = tuple(state)
-    else:
-        raise RuntimeError("components: no fixed point")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        # stars: no vertex is tied twice, and none that others are tied to is tied itself
+        roles = e.select(F.col("u").alias("x"), F.lit(1).alias("ties"), F.lit(0).alias("hub")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("ties"), F.lit(1).alias("hub")))
+        odd = roles.groupBy("x").agg(F.sum("ties").alias("ties"), F.max("hub").alias("hub")).where("ties > 1 or (ties > 0 and hub > 0)")
+        if not odd.limit(1).count():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    raise RuntimeError("components: no fixed point")

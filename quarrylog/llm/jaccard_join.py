@@ -42,13 +42,14 @@ from .common import NONSPACE, Stage, components, mix64, release, text_slices, wo
 
 WIDTH, NUM, DEN = 5, 8, 10
 #: Text bytes for each range of shingle hashes that is counted by itself.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Shingles that travel together from a task to the ranges.
 PACK = 1 << 20
 #: Hubs that a shingle picks in a round, and rounds at most; the residual round is exact after any number of them.
 PICKS, HUB_ROUNDS = 3, 4
-#: Another round follows while one makes this share of the links that the first has made.
-WORTH = 0.1
+#: Another round follows only where the residual round would look at more pairs a posting than this, before its filters,
+#: and while a round makes this share of the links that the first has made.
+LOOKS, WORTH = 256, 0.1
 _BITS = 256
 _WORDS = [f"b{k}" for k in range(_BITS // 64)]
 
@@ -391,7 +392,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = WIDTH, nu
         postings = left
         release(spark)
         pairs, rows = join.pairs_left(postings)
-        if pairs <= 4 * rows or made < WORTH * first:
+        if pairs <= LOOKS * rows or made < WORTH * first:
             break
     more = join.verified(join.residual(postings), "residual")
     if more.limit(1).count():
