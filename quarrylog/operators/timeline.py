@@ -40,6 +40,20 @@ def segments(rows: DataFrame, source: str | None = None) -> DataFrame:
     return rows.drop("__part", "__prev", "__head", "__new", "__count", "__start", "__base", "__origin")
 
 
+def segments_of(kept: DataFrame, rows: DataFrame, source: str = "source_id") -> DataFrame:
+    """`segments` of a few rows among many: the others give their times only, and of those no more than where segments begin."""
+    times = rows.select(source, "line_no", "date", "time")
+    begins = segments(times, source).where("in_segment_ms = 0").groupBy(source, "segment").agg(F.min("line_no").alias("line_no"), F.min_by("timeline_ms", "line_no").alias("__origin"))
+    kept = settle(kept, {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
+    mark = begins.select(source, "line_no", F.struct("segment", "__origin").alias("__at"))
+    both = kept.withColumn("__row", F.lit(True)).unionByName(mark, allowMissingColumns=True)
+    # a segment's first row stands after the mark of its line
+    order = Window.partitionBy(source).orderBy("line_no", F.col("__row").asc_nulls_first())
+    both = both.withColumn("__at", F.last("__at", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__row")
+    known = F.col("timeline_ms").isNotNull()
+    return both.withColumn("segment", F.when(known, F.col("__at.segment"))).withColumn("in_segment_ms", F.when(known, F.col("timeline_ms") - F.col("__at.__origin"))).drop("__row", "__at")
+
+
 def _parted(before: Column, here: Column) -> Column:
     """Whether a line with a valid time opens a segment after the line before it (null: the source begins)."""
     month = lambda m: F.substring(m["day"], 1, 2).try_cast("int")

@@ -13,13 +13,13 @@ CHUNK = 1 << 18
 MAX_WINDOW = 512
 
 
-def with_position(rows: DataFrame, line: str = "line_no", chunk: int = CHUNK) -> DataFrame:
-    """Adds `pos`, the 0-based place of each row in line order."""
-    part = F.floor(F.col(line) / chunk)
-    rows = rows.withColumn("__part", part)
+def with_position(rows: DataFrame, line: str = "line_no", chunk: int = CHUNK, total: str | None = None) -> DataFrame:
+    """Adds `pos`, the 0-based place of each row in line order; with `total`, a column of that name with the number of rows."""
+    rows = rows.withColumn("__part", F.floor(F.col(line) / chunk))
     totals = rows.groupBy("__part").agg(F.count("*").alias("__n"))  # one row for each chunk of lines
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    every = [F.sum("__n").over(Window.partitionBy()).alias(total)] if total else []
+    totals = totals.select("__part", F.coalesce(before, F.lit(0)).alias("__before"), *every)
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(line))
     placed = rows.withColumn("__inside", inside).join(totals, "__part")
     return placed.withColumn("pos", (F.col("__before") + F.col("__inside") - 1).cast("long")).drop("__part", "__inside", "__before")
@@ -45,7 +45,18 @@ def window(rows: DataFrame, start: int, count: int, dense: bool = False) -> Data
     count = min(count, MAX_WINDOW)
     if dense:
         return rows.where(F.col("line_no").between(start + 1, start + count))
-    return with_position(rows).where((F.col("pos") >= start) & (F.col("pos") < start + count)).drop("pos")
+    # the chunks that hold these places are found by counting; only their rows are put in order
+    part = F.floor(F.col("line_no") / CHUNK)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).withColumn("before", before)  # one row for each chunk
+    held = totals.where((F.col("before") < start + count) & (F.col("before") + F.col("n") > start)).orderBy("part").collect()  # two for a window, if gaps are few
+    if not held:
+        return rows.where(F.lit(False))
+    near = rows.where((F.col("line_no") >= held[0]["part"] * CHUNK) & (F.col("line_no") < (held[-1]["part"] + 1) * CHUNK))
+    first = start - held[0]["before"]
+    ordered = near.orderBy("line_no").limit(first + count)  # the best of each task are merged, nothing is gathered
+    place = F.row_number().over(Window.orderBy("line_no"))
+    return ordered.withColumn("__place", place).where(F.col("__place") > first).drop("__place") if first else ordered
 
 
 def checked_window(rows: DataFrame, start: int, count: int, revision: int, current: int, dense: bool = False) -> DataFrame:
@@ -111,9 +122,8 @@ def bookmark_in_result(result: DataFrame, bookmarks: DataFrame, from_line: int,
 
 def minimap(result: DataFrame, bookmarks: DataFrame, buckets: int) -> DataFrame:
     """Errors and whether a bookmark is there, for each of min(buckets, rows) buckets that has either."""
-    placed = with_position(result.select("line_no", "level"))
-    total = result.agg(F.count("*").alias("total"))
-    rows = placed.join(F.broadcast(total)).join(bookmarks.select("line_no", F.lit(1).alias("mark")).distinct(), "line_no", "left")
+    placed = with_position(result.select("line_no", "level"), total="total")
+    rows = placed.join(bookmarks.select("line_no", F.lit(1).alias("mark")).distinct(), "line_no", "left")
     bucket = F.expr(f"pos * least({int(buckets)}L, total) div total").cast("int")
     out = rows.groupBy(bucket.alias("bucket")).agg(F.count_if(F.col("level").isin("E", "F")).alias("errors"), F.coalesce(F.max("mark"), F.lit(0)).alias("marked"))
     return out.where((F.col("errors") > 0) | (F.col("marked") > 0))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylog.operators.timeline import segments_of
+
 from . import gate
 from .fold import Fold, Line
 
+#: Lines after an opener that may belong to it, and the runs of lines that are kept or left together.
 HORIZON = 520
-CHUNK = 1 << 18
+RUN = 512
+REACH = -(-HORIZON // RUN)
 
 EVENTS = (
     "source_id string, event_no int, kind int, start long, `end` long, anchor long, pid long, process string, quality int, fingerprint string, subject string, "
@@ -19,28 +23,30 @@ EVENTS = (
 _COLUMNS = ("line_no", "tag", "message", "level", "pid", "raw_len", "provenance", "buffer", "packed_ts", "segment", "in_segment_ms")
 
 
+def _marks(rows: DataFrame) -> DataFrame:
+    """Lines that open a report: source_id, line_no, pid, dump (it is a tombstone's). Few of a log's lines."""
+    opens = F.col("cand").bitwiseAND(gate.JAVA_FATAL | gate.NATIVE_CRASH | gate.KERNEL_OOM | gate.ANR) != 0
+    dump = F.col("tag").isin("DEBUG", "debuggerd", "") & (F.col("cand").bitwiseAND(gate.NATIVE_CRASH) != 0)
+    return rows.where(opens).select("source_id", "line_no", "pid", dump.alias("dump"))
+
+
 def detail(rows: DataFrame) -> DataFrame:
-    """The lines the fold needs: candidates, what follows an opener within the horizon, and, once a source has a
-    tombstone, its untagged lines and those of tombstone producers.
+    """The lines the fold needs, or a few more: candidates, what follows an opener within the horizon, and, once a source has
+    a tombstone, its untagged lines and those of tombstone producers.
 
-    The nearest opener before a line is a running maximum within chunks of lines, with the last opener of
-    the chunk before carried over, as the horizon is shorter than a chunk.
+    Openers name the short runs of lines that they reach into; lines are kept by equality with those. So lines are neither
+    shuffled nor sorted, as long as the openers of a log fit a broadcast; else they are joined by run.
     """
-    rows = gate.classify(rows).withColumn("__part", F.floor(F.col("line_no") / CHUNK))
-    opens = F.col("cand").bitwiseAND(gate.JAVA_FATAL | gate.NATIVE_CRASH | gate.KERNEL_OOM | gate.ANR) != 0
-    dumps = F.col("tag").isin("DEBUG", "debuggerd", "") & (F.col("cand").bitwiseAND(gate.NATIVE_CRASH) != 0)
-    rows = rows.withColumn("__open", F.when(opens, F.col("line_no"))).withColumn("__dump", F.when(dumps, F.col("line_no")))
-    chunk = rows.where("__open is not null").groupBy("source_id", "__part").agg(F.max("__open").alias("__edge"), F.min("__dump").alias("__dump"), F.collect_set(F.when(dumps, F.col("pid"))).alias("__pids"))
-    whole = Window.partitionBy("source_id")
-    chunk = chunk.select("source_id", "__part", "__edge", F.min("__dump").over(whole).alias("__tomb"), F.array_distinct(F.flatten(F.collect_list("__pids").over(whole))).alias("__pids"))
-    per_source = chunk.groupBy("source_id").agg(F.first("__tomb").alias("__tomb"), F.first("__pids").alias("__pids"))
-    edge = chunk.select("source_id", (F.col("__part") + 1).alias("__part"), "__edge")
-    running = F.max("__open").over(Window.partitionBy("source_id", "__part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.drop("__dump").withColumn("__last", running).join(edge, ["source_id", "__part"], "left").join(per_source, "source_id", "left")
-    near = F.col("line_no") - F.coalesce("__last", "__edge") <= HORIZON
-    late = (F.col("line_no") > F.col("__tomb")) & ((F.col("tag") == "") | F.array_contains("__pids", F.col("pid")))
+    rows = gate.classify(rows)
+    marks = _marks(rows).persist()
+    run = F.floor(F.col("line_no") / RUN)
+    near = marks.select("source_id", F.explode(F.sequence(run, run + REACH)).alias("__run")).distinct().withColumn("__near", F.lit(True))
+    dumps = marks.where("dump").groupBy("source_id", "pid").agg(F.min("line_no").alias("__of_pid"))
+    first = dumps.groupBy("source_id").agg(F.min("__of_pid").alias("__tomb"))
+    late = (F.col("line_no") > F.col("__tomb")) & ((F.col("tag") == "") | F.col("__of_pid").isNotNull())
     own = F.col("cand").bitwiseAND(~gate.CONTINUATION) != 0
-    return rows.where(own | F.coalesce(near, F.lit(False)) | F.coalesce(late, F.lit(False))).drop("__part", "__open", "__last", "__edge", "__tomb", "__pids")
+    found = rows.withColumn("__run", run).join(near, ["source_id", "__run"], "left").join(dumps, ["source_id", "pid"], "left").join(first, "source_id", "left")
+    return found.where(own | F.col("__near") | F.coalesce(late, F.lit(False))).drop("__run", "__near", "__of_pid", "__tomb")
 
 
 def _line(r: dict) -> Line:
@@ -82,6 +88,11 @@ def _fold(batches):
 
 
 def problems(rows: DataFrame) -> DataFrame:
-    """Events of parsed rows (source_id, line_no, fields, raw_len, provenance, buffer, packed_ts, segment, in_segment_ms)."""
-    lines = detail(rows).select(F.col("source_id").cast("string").alias("source_id"), *_COLUMNS)
+    """Events of parsed rows (source_id, line_no, fields, raw_len, provenance, buffer).
+
+    packed_ts, segment and in_segment_ms may be there already; else they are found for the kept lines only."""
+    lines = detail(rows)
+    if "segment" not in rows.columns:
+        lines = segments_of(lines, rows)
+    lines = lines.select(F.col("source_id").cast("string").alias("source_id"), *_COLUMNS)
     return lines.repartition("source_id").sortWithinPartitions("source_id", "line_no").mapInArrow(_fold, EVENTS)

@@ -297,8 +297,7 @@ def time_segments(spark, sf_dir):
 
 def _problem_rows(spark, sf_dir) -> DataFrame:
     rows = parsing.parse(rendering.events_as_problems(spark.read.parquet(f"{sf_dir}/events.parquet")), whole=True)
-    rows = rows.withColumns({"source_id": F.lit("events"), "raw_len": (F.octet_length("raw") + 1).cast("long"), "provenance": F.lit("unknown"), "buffer": F.lit(None).cast("string")})
-    return timeline.segments(rows, "source_id")
+    return rows.withColumns({"source_id": F.lit("events"), "raw_len": (F.octet_length("raw") + 1).cast("long"), "provenance": F.lit("unknown"), "buffer": F.lit(None).cast("string")})
 
 
 _EVENTS = """E AS (SELECT CASE event_type WHEN 'error' THEN 0 ELSE 6 END AS kind, event_id * 8 + 1 AS start, event_id * 8 + CASE event_type WHEN 'error' THEN 4 ELSE 1 END AS "end", user_id + 1000 AS pid, 'com.example.u' || (user_id % 10) AS process,
@@ -453,7 +452,7 @@ def _lifecycle_rows(spark, sf_dir) -> DataFrame:
     lines = F.array(start(pid), kill, am(F.lit("Process "), name, F.lit(" (pid "), pid, F.lit(") has died: cch")), start((F.col("event_id") * 2 + 11).cast("string")))
     raw = events.select("event_id", F.posexplode(lines).alias("j", "raw")).select((F.col("event_id") * 10 + F.col("j") + 1).alias("line_no"), "raw")
     rows = parsing.parse(raw, whole=True).withColumns({"source_id": F.lit("events"), "raw_len": (F.octet_length("raw") + 1).cast("long"), "provenance": F.lit("unknown"), "buffer": F.lit(None).cast("string")})
-    return timeline.segments(rows, "source_id")
+    return rows
 
 
 @query("WITH x AS (SELECT * FROM events WHERE event_type = 'signup') SELECT event_id * 10 + 3 AS start, event_id * 10 + 4 AS \"end\", 'com.example.p' || event_id AS process FROM x")

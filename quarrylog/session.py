@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.functions import parsing
-from quarrylog.operators import filters, search, sinks, timeline, views
+from quarrylog.operators import filters, search, sinks, views
 from quarrylog.plans.problems import detect, groups
 from quarrylog.sources import lines as source
 
 
 class Log:
-    def __init__(self, spark: SparkSession, rows: DataFrame, bookmarks: list[int] | None = None, spans: list[tuple[int, int, str]] | None = None):
+    def __init__(self, spark: SparkSession, rows: DataFrame, bookmarks: list[int] | None = None, spans: list[tuple[int, int, str]] | None = None, coverage: source.Coverage = source.Coverage()):
         self.spark, self.rows = spark, rows
         self.marked = set(bookmarks or ())
-        self.spans = source.check_spans(spans or [])
+        self.spans, self.coverage = source.check_spans(spans or []), coverage
         self.filter, self.revision = filters.FilterSpec(), 0
         self._frozen: DataFrame | None = None
 
@@ -115,8 +115,7 @@ class Log:
 
     def problems(self) -> DataFrame:
         spans = self.spark.createDataFrame(self.spans, "start_line long, end_line long, buffer string")
-        rows = source.with_provenance(self.rows, F.broadcast(spans))  # a few spans, given by hand
-        return detect.problems(timeline.segments(rows, "source_id"))
+        return detect.problems(source.with_provenance(self.rows, spans, self.coverage))
 
     def problem_groups(self, sort: str = "last", kind: int | None = None, start: int = 0, limit: int = groups.DEFAULT_PAGE, keep: bool = False) -> DataFrame:
         """A page of groups; with keep, of the snapshot that the call before froze."""

@@ -5,23 +5,33 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    text = spark.read.option("lineSep", "\n").text(path)
+    block = [F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("__block")]
+    return text.select(F.col("value").cast("binary").alias("raw"), *block, F.monotonically_increasing_id().alias("__id"))
+
+
+def index_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The index of text files: one row a file split, with the lines before it. Keep it (persist) to read the files many times.
+
+    It holds for reads of the same files with the same split sizes, so for the session that made it.
+    """
+    blocks = _scan(spark, path).groupBy("source_id", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("source_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    return blocks.select("source_id", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], index: DataFrame | None = None) -> DataFrame:
     """source_id (file), line_no (1-based), raw (bytes without the \\n), raw_len (with it, as if present).
 
     Lines are numbered within each file split by their order of reading, and each split starts after the
     lines of those before it; nothing but one count for each split is shuffled.
     """
-    text = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
-    blocks = text.groupBy("source_id", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    from pyspark.sql import Window
-
-    before = F.sum("__n").over(Window.partitionBy("source_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select("source_id", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    out = text.join(starts, ["source_id", "__block"])
+    out = _scan(spark, path).join(index_lines(spark, path) if index is None else index, ["source_id", "__block"])
     return out.select("source_id", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line_no"), "raw", (F.length("raw") + 1).cast("long").alias("raw_len"))
 
 
