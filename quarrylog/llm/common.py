@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -22,20 +23,34 @@ NONSPACE = "nonspace"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own, but only if executors share this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quarrylog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark writes."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+_stages: list[Stage] = []
+
+
 class Stage:
     """Tables written under the shared folder, which cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _stages.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -44,9 +59,17 @@ class Stage:
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing will read again."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(self.spark, f"{self.base}/{name}")
+
+
+@contextlib.contextmanager
+def swept():
+    """Deletes, at its end, the tables of all operators that ran within; their results must have been written by then."""
+    before = len(_stages)
+    yield
+    while len(_stages) > before:
+        stage = _stages.pop()
+        remove(stage.spark, stage.base)
 
 
 def release(spark: SparkSession) -> None:

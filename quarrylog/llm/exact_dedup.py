@@ -125,7 +125,8 @@ def _gather(batches):
 
 
 def _own(batches):
-    """Final owners; the rows come sorted by (n_bytes, digest), so a (length, first hash byte) slice is contiguous."""
+    """Final owners. Rows come sorted by (n_bytes, digest), so copies are neighbours, and a trie that is full can be written out
+    between any two texts: what follows belongs to other subtrees of its (length, hash) partition."""
     names = ["n_bytes", "digest", "keep_id", "group_size"]
 
     def flush(trie):
@@ -135,7 +136,7 @@ def _own(batches):
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(6)]
         for n_bytes, digest, body, chars, doc_id, n in zip(*cols, strict=True):
-            part = (n_bytes, digest[:1])
+            part = (n_bytes, digest)
             if part != last and trie.held > TRIE_BYTES:
                 yield from _chunks(flush(trie), names, None)
                 trie = PatriciaOwners()
