@@ -2,9 +2,10 @@
 
 Stages return the columns of `documents`; the last returns ids and decoded text. Nulls: a document
 without text is clean, has no lines to repeat, is linked with nothing, holds no benchmark window and
-has no ids, so it stays to the end. Rows with equal doc_ids that get this far count as one document
-where a stage keeps one of a group. Columns beyond those of `documents` are carried along up to the
-last stage.
+has no ids, so it stays to the end. Where a stage keeps one of a group, a group is told by doc_id: rows
+with equal doc_ids stay or go together, and rows without one stay. A very long text is handled whole in
+every stage. An empty table passes as one. Ties of a group go to the smallest doc_id. Columns beyond
+those of `documents` are carried along up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylog.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
-from quarrylog.llm.common import free_name, shared_dir
+from quarrylog.llm.common import free_name, remove, shared_dir, swept
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,16 +65,19 @@ STAGES = [
     ("bpe", encode_bpe),
 ]
 
-#: Trained scores, tokens and connected components are no SQL; tests compare each stage with a brute-force version.
+#: Trained scores, tokens and connected components are no SQL; tests compare each stage, and all of them, with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each written as Parquet under the shared folder and reread."""
+    """All stages on `documents`, each written as Parquet under the shared folder and reread; what only stages needed is deleted."""
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with swept():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
