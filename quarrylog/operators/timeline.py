@@ -19,7 +19,9 @@ def segments(rows: DataFrame, source: str | None = None) -> DataFrame:
     chunk says how it begins, ends and what it counts, and tells each chunk what the ones before it leave.
     """
     key = [source] if source else []
-    rows = settle(rows.withColumn("__part", F.floor(F.col("line_no") / CHUNK)), {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
+    rows = rows.withColumn("__part", F.floor(F.col("line_no") / CHUNK))
+    if "timeline_ms" not in rows.columns:
+        rows = settle(rows, {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
     inside = Window.partitionBy(*key, "__part").orderBy("line_no")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     mark = F.struct(F.col("timeline_ms").alias("ms"), F.col("date").alias("day"))
@@ -41,8 +43,8 @@ def segments(rows: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def segments_of(kept: DataFrame, rows: DataFrame, source: str = "source_id") -> DataFrame:
-    """`segments` of a few rows among many: the others give their times only, and of those no more than where segments begin."""
-    times = rows.select(source, "line_no", "date", "time")
+    """`segments` of a few rows among many: of the others (source, line_no, date, timeline_ms) only where segments begin is kept."""
+    times = rows.select(source, "line_no", "date", "timeline_ms")
     begins = segments(times, source).where("in_segment_ms = 0").groupBy(source, "segment").agg(F.min("line_no").alias("line_no"), F.min_by("timeline_ms", "line_no").alias("__origin"))
     kept = settle(kept, {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
     mark = begins.select(source, "line_no", F.struct("segment", "__origin").alias("__at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylog.functions.parsing import timeline_ms
 from quarrylog.operators.timeline import segments_of
 
 from . import gate
@@ -12,7 +13,7 @@ from .fold import Fold, Line
 
 #: Lines after an opener that may belong to it, and the runs of lines that are kept or left together.
 HORIZON = 520
-RUN = 512
+RUN = 64
 REACH = -(-HORIZON // RUN)
 
 EVENTS = (
@@ -23,25 +24,28 @@ EVENTS = (
 _COLUMNS = ("line_no", "tag", "message", "level", "pid", "raw_len", "provenance", "buffer", "packed_ts", "segment", "in_segment_ms")
 
 
-def _marks(rows: DataFrame) -> DataFrame:
-    """Lines that open a report: source_id, line_no, pid, dump (it is a tombstone's). Few of a log's lines."""
+def _thin(rows: DataFrame, timed: bool) -> DataFrame:
+    """Of every classified line what selection and clocks ask for, kept: the log is parsed once for it and once for the lines
+    that are selected. Lines that open a report have `opens`, those of a tombstone `dump`, and these their pid."""
     opens = F.col("cand").bitwiseAND(gate.JAVA_FATAL | gate.NATIVE_CRASH | gate.KERNEL_OOM | gate.ANR) != 0
     dump = F.col("tag").isin("DEBUG", "debuggerd", "") & (F.col("cand").bitwiseAND(gate.NATIVE_CRASH) != 0)
-    return rows.where(opens).select("source_id", "line_no", "pid", dump.alias("dump"))
+    clock = [F.col("date"), timeline_ms(F.col("date"), F.col("time")).alias("timeline_ms")] if timed else []
+    return rows.select("source_id", "line_no", opens.alias("opens"), dump.alias("dump"), F.when(dump, F.col("pid")).alias("pid"), *clock).persist()
 
 
-def detail(rows: DataFrame) -> DataFrame:
+def detail(rows: DataFrame, thin: DataFrame | None = None) -> DataFrame:
     """The lines the fold needs, or a few more: candidates, what follows an opener within the horizon, and, once a source has
     a tombstone, its untagged lines and those of tombstone producers.
 
     Openers name the short runs of lines that they reach into; lines are kept by equality with those. So lines are neither
     shuffled nor sorted, as long as the openers of a log fit a broadcast; else they are joined by run.
     """
-    rows = gate.classify(rows)
-    marks = _marks(rows).persist()
+    if thin is None:
+        rows = gate.classify(rows)
+        thin = _thin(rows, False)
     run = F.floor(F.col("line_no") / RUN)
-    near = marks.select("source_id", F.explode(F.sequence(run, run + REACH)).alias("__run")).distinct().withColumn("__near", F.lit(True))
-    dumps = marks.where("dump").groupBy("source_id", "pid").agg(F.min("line_no").alias("__of_pid"))
+    near = thin.where("opens").select("source_id", F.explode(F.sequence(run, run + REACH)).alias("__run")).distinct().withColumn("__near", F.lit(True))
+    dumps = thin.where("dump").groupBy("source_id", "pid").agg(F.min("line_no").alias("__of_pid"))
     first = dumps.groupBy("source_id").agg(F.min("__of_pid").alias("__tomb"))
     late = (F.col("line_no") > F.col("__tomb")) & ((F.col("tag") == "") | F.col("__of_pid").isNotNull())
     own = F.col("cand").bitwiseAND(~gate.CONTINUATION) != 0
@@ -91,8 +95,10 @@ def problems(rows: DataFrame) -> DataFrame:
     """Events of parsed rows (source_id, line_no, fields, raw_len, provenance, buffer).
 
     packed_ts, segment and in_segment_ms may be there already; else they are found for the kept lines only."""
-    lines = detail(rows)
-    if "segment" not in rows.columns:
-        lines = segments_of(lines, rows)
+    rows, timed = gate.classify(rows), "segment" not in rows.columns
+    thin = _thin(rows, timed)
+    lines = detail(rows, thin)
+    if timed:
+        lines = segments_of(lines, thin)
     lines = lines.select(F.col("source_id").cast("string").alias("source_id"), *_COLUMNS)
     return lines.repartition("source_id").sortWithinPartitions("source_id", "line_no").mapInArrow(_fold, EVENTS)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +76,13 @@ def stats(events: DataFrame) -> DataFrame:
     return with_identity(events).agg(F.count("*").alias("observed"), F.count_distinct(*KEY).alias("groups"))
 
 
+def counters(marked: DataFrame) -> DataFrame:
+    """Of what `limited` marks: observed, stored and dropped events, their groups, and whether a capacity was reached."""
+    out = with_identity(marked) if "identity" not in marked.columns else marked
+    out = out.agg(F.count("*").alias("observed"), F.count_if("stored").alias("stored"), F.count_distinct(*KEY).alias("groups"))
+    return out.select("*", (F.col("observed") - F.col("stored")).alias("dropped"), (F.col("observed") > F.col("stored")).alias("limited"))
+
+
 def limited(events: DataFrame, max_events: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Optional capacity: marks as `stored` the first events of the first groups by line; nothing is dropped."""
     from quarrylog.operators.views import with_position
@@ -87,3 +98,64 @@ def limited(events: DataFrame, max_events: int | None = None, max_groups: int |
         rows = with_position(rows, line="anchor")
         stored = stored & (F.col("pos") < max_events)
     return rows.withColumn("stored", stored).drop("__group", "pos")
+
+
+@dataclass
+class _Held:
+    rows: DataFrame
+    used: float
+
+
+class Snapshots:
+    """Frozen listings that pages are read from: eight at most, the one unused longest goes first, and none outlives five idle
+    minutes. A page comes with the cursor of the next, which can be used once."""
+
+    def __init__(self, most: int = 8, idle_seconds: float = 300.0, clock=time.monotonic):
+        self.most, self.idle, self.clock = most, idle_seconds, clock
+        self._held: dict[str, _Held] = {}
+        self._cursors: dict[str, tuple[str, int, int]] = {}
+
+    def _drop(self, name: str) -> None:
+        self._held.pop(name).rows.unpersist()
+        self._cursors = {c: at for c, at in self._cursors.items() if at[0] != name}
+
+    def _expire(self) -> None:
+        now = self.clock()
+        for name in [n for n, h in self._held.items() if now - h.used >= self.idle]:
+            self._drop(name)
+
+    def open(self, found: DataFrame, sort: str = "last", kind: int | None = None, limit: int = DEFAULT_PAGE) -> tuple[str, str]:
+        """Freezes a listing; its name, and the cursor of its first page."""
+        self._expire()
+        while len(self._held) >= self.most:
+            self._drop(min(self._held, key=lambda n: self._held[n].used))
+        name = uuid.uuid4().hex
+        self._held[name] = _Held(snapshot(found, sort, kind).persist(), self.clock())
+        return name, self._cursor(name, 0, limit)
+
+    def _cursor(self, name: str, start: int, limit: int) -> str:
+        cursor = uuid.uuid4().hex
+        self._cursors[cursor] = (name, start, limit)
+        return cursor
+
+    def next(self, cursor: str) -> tuple[DataFrame, str | None]:
+        """The page of a cursor, and the cursor of the next if there is one."""
+        self._expire()
+        if cursor not in self._cursors:
+            raise KeyError("the cursor was used, or its snapshot is gone")
+        name, start, limit = self._cursors.pop(cursor)
+        held = self._held[name]
+        held.used = self.clock()
+        rows = page(held.rows, start, limit)
+        more = held.rows.where(F.col("rank") >= start + limit).limit(1).count()
+        return rows, self._cursor(name, start + limit, limit) if more else None
+
+    def release(self, name: str) -> bool:
+        if name not in self._held:
+            return False
+        self._drop(name)
+        return True
+
+    def __len__(self) -> int:
+        self._expire()
+        return len(self._held)

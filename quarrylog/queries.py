@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -292,6 +295,30 @@ def time_segments(spark, sf_dir):
     return timeline.segments(rows).select("line_no", "segment")
 
 
+_TIMES = """WITH t AS (SELECT event_id + 1 AS line_no, CASE WHEN event_id % 50 = 0 THEN 0 ELSE (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 END AS ms FROM events),
+s AS (SELECT *, sum(new) OVER (ORDER BY line_no) - 1 AS segment FROM (SELECT *, CASE WHEN lag(ms) OVER w IS NULL OR ms < lag(ms) OVER w THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (ORDER BY line_no)))
+SELECT line_no, CAST(segment AS BIGINT) AS segment, ms - first_value(ms) OVER (PARTITION BY segment ORDER BY line_no) AS in_segment_ms FROM s"""
+
+
+@query(_TIMES)
+def time_deltas(spark, sf_dir):
+    """Segments, and the time of each line since its segment began; every 50th line's clock is set back."""
+    rows = _rows(spark, sf_dir)
+    back = (F.col("line_no") - 1) % 50 == 0
+    rows = rows.withColumns({"date": F.when(back, "01-01").otherwise(F.col("date")), "time": F.when(back, "00:00:00.000").otherwise(F.col("time"))})
+    return timeline.segments(rows).select("line_no", "segment", "in_segment_ms")
+
+
+@query(f"SELECT {_ROW}, CAST(strlen(raw) + 1 AS BIGINT) AS raw_len FROM R")
+def read_text_lines(spark, sf_dir):
+    """The log as a text file: written once, then split, numbered and parsed."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarrylog-")
+    path = f"{base.rstrip('/')}/log-{uuid.uuid4().hex}"
+    log = rendering.events_as_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    log.coalesce(1).sortWithinPartitions("line_no").select("raw").write.option("lineSep", "\n").text(path)
+    return parsing.parse(source.read_lines(spark, path)).select("line_no", *parsing.FIELDS, "raw_len")
+
+
 # --------------------------------------------------------------------------- faults
 
 
@@ -367,6 +394,40 @@ def problems_details(spark, sf_dir):
     return facts.where("role <> 'KillIssued'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_EVENTS}, F AS (SELECT kind, unnest(CASE kind WHEN 0 THEN ['JavaUncaughtException', 'ProcessIdentityRecorded', 'ExceptionTypeRecorded', 'StackFrameRecorded'] ELSE ['LmkKillIssued', 'ProcessIdentityRecorded', 'LmkKillIssued'] END) AS code FROM E)
+SELECT kind, code, CASE kind WHEN 0 THEN 'JavaUncaughtV1' ELSE 'LmkdKillV1' END AS rule, 'AospText' AS format, 'Unknown' AS provenance, count(*) AS n FROM F GROUP BY 1, 2""")
+def problems_facts(spark, sf_dir):
+    facts = groups.details(detect.problems(_problem_rows(spark, sf_dir)))
+    return facts.groupBy("kind", "code", "rule", "format", "provenance").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_EVENTS} SELECT start, pid FROM E WHERE kind = 0 AND process = 'com.example.u3' AND subject = 'com.example.Fault3Exception'""")
+def problems_of_a_group(spark, sf_dir):
+    events = detect.problems(_problem_rows(spark, sf_dir))
+    key = groups.groups(events).where("kind = 0 and process = 'com.example.u3' and signature = 'com.example.Fault3Exception'").first()
+    return groups.occurrences(events, key["kind"], key["fingerprint"]).select("start", "pid")
+
+
+@query(f"""WITH {_EVENTS}, G AS (SELECT kind, process, subject AS signature, max(start) AS last_line FROM E GROUP BY 1, 2, 3), N AS (SELECT *, row_number() OVER (ORDER BY last_line DESC) - 1 AS rank FROM G) SELECT rank, kind, process, signature FROM N WHERE rank < 15""")
+def problems_pages_appended(spark, sf_dir):
+    frozen = groups.snapshot(groups.groups(detect.problems(_problem_rows(spark, sf_dir))), "last")
+    return groups.append_page(groups.page(frozen, 0, 10), groups.page(frozen, 5, 10)).select("rank", "kind", "process", "signature")
+
+
+@query(f"""WITH {_EVENTS}, G AS (SELECT kind, process, subject, row_number() OVER (ORDER BY min(start)) AS g FROM E GROUP BY 1, 2, 3), M AS (SELECT *, row_number() OVER (ORDER BY start) <= 300 AND g <= 12 AS stored FROM E JOIN G USING (kind, process, subject))
+SELECT count(*) AS observed, count(*) FILTER (stored) AS stored, count(DISTINCT (kind, process, subject)) AS groups, count(*) FILTER (NOT stored) AS dropped, count(*) FILTER (NOT stored) > 0 AS limited FROM M""")
+def problems_counters(spark, sf_dir):
+    return groups.counters(groups.limited(detect.problems(_problem_rows(spark, sf_dir)), max_events=300, max_groups=12))
+
+
+@query(f"""WITH {_EVENTS}, T AS (SELECT max(event_id * 8 + 8) AS total FROM events), W AS (SELECT start, greatest(start - 400, 1) AS lo, least("end" + 400, total) AS hi FROM E, T)
+SELECT start, CASE WHEN hi - lo >= 512 THEN greatest(least(start - 256, hi - 511), lo) ELSE lo END AS first_line, CASE WHEN hi - lo >= 512 THEN greatest(least(start - 256, hi - 511), lo) + 511 ELSE hi END AS last_line FROM W""")
+def context_wide(spark, sf_dir):
+    """Ranges of 801 lines and more, cut to 512 around the anchor."""
+    total = (spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] or 0) * 8 + 8
+    return views.context(detect.problems(_problem_rows(spark, sf_dir)), total, 400).select("start", "first_line", "last_line")
+
+
 # --------------------------------------------------------------------------- normalised tokens
 
 
@@ -438,6 +499,14 @@ def _highlighted(events: DataFrame) -> DataFrame:
     return events.select("event_id", (F.size(cut) - F.when(F.col("event_type") == "error", 2).otherwise(0)).alias("n_tokens"))
 
 
+@query("SELECT event_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(props, '{\"k: }0123456789', 'TTTTTTRRRRRTYTTS'), 'T+', 'T', 'g'), 'S+', 'S', 'g'), 'Y+', 'Y', 'g'), 'R+', 'R', 'g') AS kinds FROM events")
+def highlight_kinds(spark, sf_dir):
+    """Every event's text cut into plain pieces (T), two highlights (Y, R) and search hits (S)."""
+    cut = highlight.highlight(F.col("props"), [highlight.Rule("6"), highlight.Rule("[0-4]", regex=True, color="red")], highlight.Rule("9"))
+    letter = lambda t: F.when(t["kind"] == "search", "S").when(t["color"] == "yellow", "Y").when(t["color"] == "red", "R").otherwise("T")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(F.transform(cut, letter), "").alias("kinds"))
+
+
 # --------------------------------------------------------------------------- lifecycle
 
 

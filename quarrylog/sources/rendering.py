@@ -40,3 +40,15 @@ def events_as_problems(events: DataFrame) -> DataFrame:
     plain = F.array(F.concat(head, F.lit("D Ui: "), F.col("props")))
     lines = F.when(F.col("event_type") == "error", crash).when(F.col("event_type") == "purchase", kill).otherwise(plain)
     return events.select("event_id", F.posexplode(lines).alias("j", "raw")).select((F.col("event_id") * 8 + F.col("j") + 1).alias("line_no"), "raw")
+
+
+def tables_as_lines(events: DataFrame, orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """raw: one device log of three tables, a line a row. Very few are faults, as in a healthy device's log: one
+    event in 4096 that is an error is a crash of four lines, one that is a purchase a kill by the low-memory killer."""
+    shop = orders.select(F.concat(F.date_format("o_orderdate", "MM-dd HH:mm:ss.SSS"), F.lit("  2100  2101 "), F.when(F.col("o_orderpriority").startswith("1"), "W").otherwise("I"), F.lit(" OrderService: order "), F.col("o_orderkey"), F.lit(" of customer "), F.col("o_custkey"), F.lit(" placed, total "), F.col("o_totalprice"), F.lit(", connection kept")).alias("raw"))
+    level = F.when(F.col("l_returnflag") == "R", "E").when(F.col("l_returnflag") == "A", "I").otherwise("D")
+    ship = lineitem.select(F.concat(F.date_format("l_shipdate", "MM-dd HH:mm:ss.SSS"), F.lit("  2200  "), (F.col("l_suppkey") % 30 + 2200), F.lit(" "), level, F.lit(" ShipService: item "), F.col("l_linenumber"), F.lit(" of order "), F.col("l_orderkey"), F.lit(" from supplier "), F.col("l_suppkey"), F.lit(", quantity "), F.col("l_quantity"), F.when(F.col("l_linestatus") == "O", ", connection reset").otherwise(", connection timeout after retry")).alias("raw"))
+    rare = F.col("event_id") % 4096 == 0
+    kind = F.when(rare, F.col("event_type")).otherwise("click")
+    faults = events_as_problems(events.withColumn("event_type", kind)).select("raw")
+    return shop.unionByName(ship).unionByName(faults)

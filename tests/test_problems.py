@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quarrylog.functions.blake3 import derive
 from quarrylog.plans.problems import rules as R
 from quarrylog.plans.problems.fold import Fold, Line
@@ -137,3 +139,65 @@ def test_stream_equals_batch(spark, tmp_path):
         q.awaitTermination(120)
         out[size] = [(r.kind, r.start, r.end, r.fingerprint) for r in spark.table(name).collect()]
     assert out[1] == out[3] == out[100] and len(out[1]) == 2
+
+
+def test_snapshots_are_few_and_cursors_serve_once(spark):
+    import pytest
+
+    from quarrylog.plans.problems import groups
+
+    now = [0.0]
+    store = groups.Snapshots(most=2, idle_seconds=10, clock=lambda: now[0])
+    found = spark.range(5).select(F.col("id").alias("last_line"), F.col("id").cast("string").alias("fingerprint"), F.lit(0).alias("kind"))
+    a, first = store.open(found, limit=3)
+    rows, then = store.next(first)
+    assert [r.last_line for r in rows.orderBy("rank").collect()] == [4, 3, 2]
+    with pytest.raises(KeyError):
+        store.next(first)
+    rows, end = store.next(then)
+    assert [r.last_line for r in rows.orderBy("rank").collect()] == [1, 0] and end is None
+    now[0] = 1
+    b, _ = store.open(found)
+    now[0] = 2
+    c, at_c = store.open(found)  # the one unused longest makes room
+    assert len(store) == 2 and not store.release(a) and store.release(b)
+    now[0] = 12
+    assert len(store) == 0 and not store.release(c)
+    with pytest.raises(KeyError):
+        store.next(at_c)
+
+
+def test_inferred_records_support_and_coverage_limits(spark):
+    from quarrylog.sources.lines import Coverage, with_provenance
+
+    rows = spark.createDataFrame([(1, "am_kill", "[0,7,a.b,0,x]"), (2, "Tag", "[1]"), (3, "am_anr", "[1]"), (4, "kernel", "k"), (600_000, "Tag", "x")], "line_no long, tag string, message string")
+    spans = spark.createDataFrame([(3, 3, "events"), (4, 4, "kernel"), (5, 700_000, "main")], "start_line long, end_line long, buffer string")
+    told = lambda c: [(r.provenance, r.buffer) for r in with_provenance(rows, spans, c).orderBy("line_no").collect()]
+    assert told(Coverage.static()) == [("inferred", "events"), ("unknown", None), ("known", "events"), ("known", "kernel"), ("known", "main")]
+    assert told(Coverage.live(["main"])) == [("unknown", None), ("unknown", None), ("unknown", None), ("unknown", None), ("known", "main")]
+    crash = [Line(i + 1, t, m, lv, p, 60, "known", "main") for i, (t, m, lv, p) in enumerate(CRASH)]
+    for provenance, outcome in (("inferred", R.DEATH_OBSERVED), ("unknown", 0)):
+        f = Fold()
+        for x in [*crash, Line(5, "am_proc_died", "[0,7,a.b]", "I", "1", 60, provenance, "events" if provenance == "inferred" else None)]:
+            f.observe(x)
+        assert [e.outcome for e in f.finish()] == [outcome]
+
+
+def test_streamed_filter_and_search(spark, tmp_path):
+    import json
+
+    from quarrylog.operators import filters, search
+    from quarrylog.functions.parsing import parse
+    from quarrylog.streaming import capture
+
+    src = tmp_path / "in"
+    src.mkdir()
+    raw = [f"01-01 00:00:{i:02d}.000  7  7 {'E' if i % 4 == 0 else 'I'} Tag{i % 3}: message {i}" for i in range(30)]
+    for k in range(0, 30, 7):
+        (src / f"{k:02d}.json").write_text("\n".join(json.dumps({"source_id": "s", "line_no": k + j + 1, "raw": r, "sealed": False}) for j, r in enumerate(raw[k : k + 7])))
+    stream = capture.lines(spark, str(src))
+    for name, made in (("f", capture.filtered(stream, filters.FilterSpec(levels=filters.level_mask("E")))), ("q", search.search(parse(stream), search.SearchSpec("TAG2")))):
+        q = made.writeStream.format("memory").queryName(f"stream_{name}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert sorted(r.line_no for r in spark.table("stream_f").collect()) == [i + 1 for i in range(0, 30, 4)]
+    assert sorted(r.line_no for r in spark.table("stream_q").collect()) == [i + 1 for i in range(2, 30, 3)]
