@@ -69,7 +69,8 @@ def shingle_sets(col, width: int) -> tuple[np.ndarray, np.ndarray]:
     acc = np.zeros(size, np.uint64)
     for j in range(width):
         acc = acc * np.uint64(0x9E3779B97F4A7C15)
-        acc[: size - j] += h[j:] if j else h
+        if j < size:
+            acc[: size - j] += h[j:]
     whole = count >= width
     full = np.zeros(size, bool)
     full[: max(0, size - width + 1)] = owner[: max(0, size - width + 1)] == owner[width - 1 :][: max(0, size - width + 1)]

@@ -263,6 +263,12 @@ def test_jaccard_join_rows(spark):
     assert seen == sorted([(5, 2, 3), (5, 2, 3), (5, 2, 5), (None, 2, 3), (None, 1, None), (None, 0, None), (3, 2, 3), (7, 0, 7), (8, 2, 8)], key=str)
 
 
+def test_slices_of_fewer_words_than_a_shingle(spark):
+    for rows in ([(1, "a b")], [(1, "a"), (2, "A")], [(1, "a b c"), (2, None)]):
+        got = jaccard_join.near_duplicates(spark, frame(spark, rows), 5, 8, 10).collect()
+        assert {(r.n_shingles, r.component_id) for r in got if r.n_shingles} == {(1, 1)}
+
+
 def test_bitmaps_bound_the_difference():
     rnd = np.random.RandomState(3)
     for _ in range(200):
