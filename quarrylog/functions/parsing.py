@@ -14,12 +14,29 @@ _DAYS = (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 _BEFORE = (0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335)
 
 
-def ltrim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+", "")
+#: White space of ASCII, and a character that parts words once they are found.
+_BLANKS, _PART = " \t\n\x0b\f\r", "\x01"
 
 
-def rtrim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+$", "")
+def ltrim(c: Column, ascii: Column | None = None) -> Column:
+    """Without leading white space; `ascii` says where that can only be ASCII's, which needs no pattern."""
+    slow = F.regexp_replace(c, rf"^{WS}+", "")
+    return slow if ascii is None else F.when(ascii, F.ltrim(c, F.lit(_BLANKS))).otherwise(slow)
+
+
+def rtrim(c: Column, ascii: Column | None = None) -> Column:
+    slow = F.regexp_replace(c, rf"{WS}+$", "")
+    return slow if ascii is None else F.when(ascii, F.rtrim(c, F.lit(_BLANKS))).otherwise(slow)
+
+
+def _words(line: Column, ascii: Column, n: int) -> Column:
+    """The first n - 1 words of a line and the rest; fewer parts where there are fewer words.
+
+    One pattern, compiled once, marks where the words end, and a single character then parts them. A line that has that
+    character is split by white space, for which Spark compiles a pattern a row."""
+    marked = lambda flag: F.regexp_replace(line, "(?s" + flag + r")\A\s*" + r"(\S+)\s+" * (n - 1) + r"(\S.*)\z", _PART.join(f"${k + 1}" for k in range(n)))
+    slow = F.split(ltrim(line), rf"{WS}+", n)
+    return F.when(line.contains(_PART), slow).otherwise(F.split(F.when(ascii, marked("")).otherwise(marked("U")), _PART, n))
 
 
 def strip_newlines(raw: Column) -> Column:
@@ -37,35 +54,40 @@ def _at(parts: Column, i: int) -> Column:
     return F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
 
 
-def threadtime(parts: Column) -> tuple[Column, dict[str, Column]]:
+def threadtime(parts: Column, ascii: Column | None = None) -> tuple[Column, dict[str, Column]]:
     """Of a line's first five words and the rest: whether it is `date time pid tid level tail`, and its fields."""
     date, time, pid, tid, level, tail = (_at(parts, i) for i in range(6))
     ok = (tail != "") & level.isin(*LEVELS) & pid.rlike("^[0-9]+$") & tid.rlike("^[0-9]+$")
     colon = F.instr(tail, ":")
     pair = F.split(tail, rf"{WS}+", 2)
-    tag = F.when(colon > 0, rtrim(F.substring_index(tail, ":", 1))).otherwise(_at(pair, 0))
-    message = F.when(colon > 0, ltrim(F.substr(tail, colon + 1))).otherwise(_at(pair, 1))
+    tag = F.when(colon > 0, rtrim(F.substring_index(tail, ":", 1), ascii)).otherwise(_at(pair, 0))
+    message = F.when(colon > 0, ltrim(F.substr(tail, colon + 1), ascii)).otherwise(_at(pair, 1))
     return ok, {"date": date, "time": time, "level": level, "pid": pid, "tid": tid, "tag": tag, "message": message}
 
 
-def time_format(parts: Column) -> tuple[Column, dict[str, Column]]:
+def time_format(parts: Column, ascii: Column | None = None) -> tuple[Column, dict[str, Column]]:
     """Of a line's first two words and the rest: whether it is `date time L/tag( pid): message`, and its fields."""
     date, time, rest = (_at(parts, i) for i in range(3))
     after = F.substr(rest, F.lit(3))
     opens, closes = F.instr(after, "("), F.instr(after, ")")
     ok = rest.rlike("^[VDIWEF]/") & (opens > 0) & (closes > opens)
-    pid = rtrim(ltrim(F.substr(after, opens + 1, F.greatest(closes - opens - 1, F.lit(0)))))
-    message = ltrim(F.ltrim(F.substr(after, closes + 1), F.lit(":")))
+    pid = rtrim(ltrim(F.substr(after, opens + 1, F.greatest(closes - opens - 1, F.lit(0))), ascii), ascii)
+    message = ltrim(F.ltrim(F.substr(after, closes + 1), F.lit(":")), ascii)
     fields = {"date": date, "time": time, "level": F.substr(rest, F.lit(1), F.lit(1)), "pid": pid, "tid": F.lit(""), "tag": F.substr(after, F.lit(1), F.greatest(opens - 1, F.lit(0))), "message": message}
     return ok, fields
 
 
 def _split(lines: DataFrame, raw: str) -> DataFrame:
     lines = settle(lines, {"__line": strip_newlines(F.coalesce(F.col(raw).cast("string"), F.lit("")))})
-    words = ltrim(F.col("__line"))
-    lines = settle(lines, {"__six": F.split(words, rf"{WS}+", 6), "__three": F.split(words, rf"{WS}+", 3)})
-    kind = F.when(threadtime(F.col("__six"))[0], 1).when(time_format(F.col("__three"))[0], 2).otherwise(0)
-    return settle(lines, {"__kind": kind})
+    line, ascii = F.col("__line"), F.col("__ascii")
+    lines = settle(lines, {"__ascii": F.octet_length("__line") == F.length("__line")})
+    lines = settle(lines, {"__six": _words(line, ascii, 6)})
+    lines = settle(lines, {"__whole": threadtime(F.col("__six"), ascii)[0]})
+    lines = settle(lines, {"__three": F.when(~F.col("__whole"), _words(line, ascii, 3))})
+    return settle(lines, {"__kind": F.when(F.col("__whole"), 1).when(time_format(F.col("__three"), ascii)[0], 2).otherwise(0)})
+
+
+_HELD = ("__line", "__ascii", "__six", "__whole", "__three", "__kind")
 
 
 def parse(lines: DataFrame, raw: str = "raw", whole: bool = False) -> DataFrame:
@@ -74,18 +96,18 @@ def parse(lines: DataFrame, raw: str = "raw", whole: bool = False) -> DataFrame:
     A line is split once; fields that aren't used cost nothing. whole: all fields are used, many times each.
     """
     lines = _split(lines, raw)
-    a, b = threadtime(F.col("__six"))[1], time_format(F.col("__three"))[1]
+    a, b = threadtime(F.col("__six"), F.col("__ascii"))[1], time_format(F.col("__three"), F.col("__ascii"))[1]
     kind = F.col("__kind")
     other = {f: F.lit("") for f in FIELDS} | {"message": F.col("__line")}
     fields = {f: F.when(kind == 1, a[f]).when(kind == 2, b[f]).otherwise(other[f]) for f in FIELDS}
     out = settle(lines, fields) if whole else lines.withColumns(fields)
-    return out.drop("__line", "__six", "__three", "__kind")
+    return out.drop(*_HELD)
 
 
 def formats(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds `format`: threadtime, time or raw."""
     kind = F.col("__kind")
-    return _split(lines, raw).withColumn("format", F.when(kind == 1, "threadtime").when(kind == 2, "time").otherwise("raw")).drop("__line", "__six", "__three", "__kind")
+    return _split(lines, raw).withColumn("format", F.when(kind == 1, "threadtime").when(kind == 2, "time").otherwise("raw")).drop(*_HELD)
 
 
 # --------------------------------------------------------------------------- time
