@@ -222,9 +222,26 @@ def plain(text: str) -> bool:
         return False
     return "<|" not in text and not any(c in raw for c in _DOUBTFUL)
 
+
 CACHE = 1_000_000
 
 
+class _Memory(dict):
+    """Ids of pre-tokens, as bytes; what wasn't asked for in the last half of the cache's size is forgotten."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize, self.old = tokenize, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHE // 2:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(piece)
+        self[piece] = found = self.tokenize(piece) if found is None else found
+        return found
+
+
 class ByteTokenizer:
     """Ids by the tokenizers library. Pre-tokens are found with the file's pattern where its classes are beyond doubt,
     the library's model encodes each once, and its answer is remembered; all other texts go to the library whole."""
@@ -239,25 +256,16 @@ class ByteTokenizer:
         self.library.no_padding()
         self.model = self.library.model
         self.alphabet = byte_alphabet()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Memory(self.piece)
 
     def piece(self, piece: str) -> bytes:
-        if len(self.young) > CACHE // 2:
-            self.old = dict(self.young)
-            self.young.clear()
-        found = self.old.get(piece)
-        if found is None:
-            tokens = self.model.tokenize("".join(map(self.alphabet.__getitem__, piece.encode())))
-            found = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        self.young[piece] = found
-        return found
+        tokens = self.model.tokenize("".join(map(self.alphabet.__getitem__, piece.encode())))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def encode(self, text: str) -> bytes:
         if not plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        get, piece = self.young.get, self.piece
-        return b"".join([get(p) or piece(p) for p in _PIECES.findall(text)])
+        return b"".join(map(self.known.__getitem__, _PIECES.findall(text)))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
@@ -308,12 +316,23 @@ def _count(size: int):
         import pyarrow as pa
 
         total = np.zeros(size, np.int64)
+        held, n = [], 0
+
+        def add():
+            nonlocal total
+            ids = np.concatenate(held)
+            more = np.bincount(ids, minlength=len(total))
+            total = more + np.pad(total, (0, len(more) - len(total)))
+
         for batch in batches:
             for raw in batch.column(0):
-                ids = _unpack(raw.as_buffer().to_pybytes())
-                if len(ids) and int(ids.max()) >= len(total):
-                    total = np.concatenate([total, np.zeros(int(ids.max()) + 1 - len(total), np.int64)])
-                total += np.bincount(ids, minlength=len(total))
+                held.append(_unpack(raw.as_buffer()))
+                n += len(held[-1])
+                if n > 1 << 20:  # a count of all ids for each text would cost more than the texts
+                    add()
+                    held, n = [], 0
+        if held:
+            add()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
