@@ -42,10 +42,23 @@ def segments(rows: DataFrame, source: str | None = None) -> DataFrame:
     return rows.drop("__part", "__prev", "__head", "__new", "__count", "__start", "__base", "__origin")
 
 
+def _begins(times: DataFrame, source: str) -> DataFrame:
+    """Where segments begin: source, line_no, segment, __origin. A line is compared with the one before it within its chunk;
+    chunks leave their first and last lines, and a first line is compared with the last one before it."""
+    inside = Window.partitionBy(source, F.floor(F.col("line_no") / CHUNK)).orderBy("line_no")
+    here = F.struct(F.col("timeline_ms").alias("ms"), F.col("date").alias("day"))
+    before = F.struct(F.lag("timeline_ms").over(inside).alias("ms"), F.lag("date").over(inside).alias("day"))
+    edge = [F.lag("line_no").over(inside).isNull().alias("__head"), F.lead("line_no").over(inside).isNull().alias("__tail")]
+    opens = F.col("timeline_ms").isNotNull()
+    few = times.select("*", before.alias("__before"), *edge).where(F.col("__head") | F.col("__tail") | (opens & _parted(F.col("__before"), here)))
+    last = F.lag(here).over(Window.partitionBy(source).orderBy("line_no"))
+    few = few.withColumn("__before", F.when(F.col("__head"), last).otherwise(F.col("__before"))).where(opens & _parted(F.col("__before"), here))
+    return few.select(source, "line_no", (F.row_number().over(Window.partitionBy(source).orderBy("line_no")) - 1).cast("long").alias("segment"), F.col("timeline_ms").alias("__origin"))
+
+
 def segments_of(kept: DataFrame, rows: DataFrame, source: str = "source_id") -> DataFrame:
     """`segments` of a few rows among many: of the others (source, line_no, date, timeline_ms) only where segments begin is kept."""
-    times = rows.select(source, "line_no", "date", "timeline_ms")
-    begins = segments(times, source).where("in_segment_ms = 0").groupBy(source, "segment").agg(F.min("line_no").alias("line_no"), F.min_by("timeline_ms", "line_no").alias("__origin"))
+    begins = _begins(rows.select(source, "line_no", "date", "timeline_ms"), source)
     kept = settle(kept, {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
     mark = begins.select(source, "line_no", F.struct("segment", "__origin").alias("__at"))
     both = kept.withColumn("__row", F.lit(True)).unionByName(mark, allowMissingColumns=True)

@@ -61,6 +61,20 @@ def test_segments(spark):
     assert got == [0, 0, None, 1, 2, 2, 3, 3]
 
 
+def test_segments_of_a_few_lines(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(timeline, "CHUNK", 16)
+    rnd = random.Random(5)
+    days = ["01-01", "02-28", "02-29", "03-01", "12-31", ""]
+    rows = [(s, n, rnd.choice(days), f"0{rnd.randint(0, 2)}:00:00.{rnd.randint(0, 999):03d}" if rnd.random() < 0.8 else "x") for s in "ab" for n in rnd.sample(range(1, 300), 150)]
+    df = spark.createDataFrame(rows, "source_id string, line_no long, date string, time string")
+    whole = {(r.source_id, r.line_no): (r.segment, r.in_segment_ms) for r in timeline.segments(df, "source_id").collect()}
+    times = df.withColumn("timeline_ms", parsing.timeline_ms(F.col("date"), F.col("time")))
+    few = timeline.segments_of(df.where("line_no % 7 = 0"), times).collect()
+    assert len(few) > 30 and all(whole[r.source_id, r.line_no] == (r.segment, r.in_segment_ms) for r in few)
+
+
 def test_patterns(spark):
     assert patterns.to_java(spark, r"(?P<n>a)") == "(?<n>a)"
     assert patterns.to_java(spark, r"\p{Greek}") == r"\p{IsGreek}"
