@@ -312,7 +312,11 @@ def time_deltas(spark, sf_dir):
 @query(f"SELECT {_ROW}, CAST(strlen(raw) + 1 AS BIGINT) AS raw_len FROM R")
 def read_text_lines(spark, sf_dir):
     """The log as a text file: written once, then split, numbered and parsed."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarrylog-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quarrylog-")
     path = f"{base.rstrip('/')}/log-{uuid.uuid4().hex}"
     log = rendering.events_as_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
     log.coalesce(1).sortWithinPartitions("line_no").select("raw").write.option("lineSep", "\n").text(path)
