@@ -29,8 +29,8 @@ from .ans import plain
 from .common import text_slices
 
 #: Pre-tokens that a worker remembers, in two generations; pairs of tokens whose compatibility it remembers.
-CACHE = 200_000
-PAIRS = 200_000
+CACHE = 120_000
+PAIRS = 100_000
 
 
 def byte_alphabet() -> dict[int, str]:
