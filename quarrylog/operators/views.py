@@ -84,10 +84,11 @@ def nearest(result: DataFrame, lines: DataFrame, total: int) -> DataFrame:
     rows = placed.select("at", F.struct("at", "pos").alias("hit"), F.lit(None).cast("long").alias("asked")).unionByName(asked.select("at", F.lit(None).cast("struct<at:bigint,pos:bigint>").alias("hit"), "asked"))
     rows = rows.withColumn("part", F.floor(F.col("at") / CHUNK))
     edge = rows.groupBy("part").agg(F.min("hit").alias("first_hit"), F.max("hit").alias("last_hit"))
-    over = Window.orderBy("part")
-    edge = edge.select("part", F.last("last_hit", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"), F.first("first_hit", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("from_after"))
-    inside = Window.partitionBy("part").orderBy("at")
-    rows = rows.withColumn("b", F.last("hit", True).over(inside.rangeBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first("hit", True).over(inside.rangeBetween(0, Window.unboundedFollowing)))
+    # what follows is looked up in falling order: Spark goes through a frame without an upper end anew for each row
+    earlier, later = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("part"), F.desc("part")))
+    edge = edge.select("part", F.last("last_hit", True).over(earlier).alias("from_before"), F.last("first_hit", True).over(later).alias("from_after"))
+    upto, onward = (Window.partitionBy("part").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("at"), F.desc("at")))
+    rows = rows.withColumn("b", F.last("hit", True).over(upto)).withColumn("a", F.last("hit", True).over(onward))
     rows = rows.where("asked is not null").join(edge, "part")
     b, a = F.coalesce("b", "from_before"), F.coalesce("a", "from_after")
     pick = F.when(b.isNull(), a).when(a.isNull(), b).when(F.col("at") - b["at"] <= a["at"] - F.col("at"), b).otherwise(a)

@@ -108,6 +108,23 @@ def test_nearest_ties_and_edges(spark):
     assert got == {1: (10, 0), 10: (10, 0), 15: (10, 0), 16: (20, 1), 360_000: (700_000, 2), 350_010: (20, 1), 350_011: (700_000, 2), 900_000: (700_000, 2)}
 
 
+def test_nearest_is_linear(spark):
+    """No frame without an upper end, which Spark goes through anew for each row; many rows of one chunk against a search."""
+    import bisect
+
+    result, asked = spark.range(3, 90_000, 3).toDF("line_no"), spark.range(1, 120_000, 7).toDF("line_no")
+    found = views.nearest(result, asked, 100_000)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    lines = list(range(3, 90_000, 3))
+
+    def want(q):
+        at = min(q, 100_000)
+        k = bisect.bisect_left(lines, at)
+        return min(((abs(lines[i] - at), lines[i], i) for i in (k - 1, k) if 0 <= i < len(lines)))[1:]
+
+    assert {r.line_no: (r.target_line, r.result_index) for r in found.collect()} == {q: want(q) for q in range(1, 120_000, 7)}
+
+
 def test_capture():
     assert capture.CaptureSpec.parse("logcat -v threadtime").buffers == ("main", "system", "crash")
     assert capture.CaptureSpec.parse("logcat -b main -v threadtime -b main").normalized() == "logcat -v threadtime -b main"
