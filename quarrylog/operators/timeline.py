@@ -60,11 +60,16 @@ def segments_of(kept: DataFrame, rows: DataFrame, source: str = "source_id") ->
     """`segments` of a few rows among many: of the others (source, line_no, date, timeline_ms) only where segments begin is kept."""
     begins = _begins(rows.select(source, "line_no", "date", "timeline_ms"), source)
     kept = settle(kept, {"packed_ts": packed_timestamp(F.col("date"), F.col("time")), "timeline_ms": timeline_ms(F.col("date"), F.col("time"))})
+    part = F.floor(F.col("line_no") / CHUNK).alias("__part")
     mark = begins.select(source, "line_no", F.struct("segment", "__origin").alias("__at"))
-    both = kept.withColumn("__row", F.lit(True)).unionByName(mark, allowMissingColumns=True)
-    # a segment's first row stands after the mark of its line
-    order = Window.partitionBy(source).orderBy("line_no", F.col("__row").asc_nulls_first())
+    both = kept.withColumn("__row", F.lit(True)).unionByName(mark, allowMissingColumns=True).withColumn("__part", part)
+    # a segment's first row stands after the mark of its line; what holds at the start of a chunk comes from those before it
+    order = Window.partitionBy(source, "__part").orderBy("line_no", F.col("__row").asc_nulls_first())
     both = both.withColumn("__at", F.last("__at", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__row")
+    last = mark.groupBy(source, part).agg(F.max_by("__at", "line_no").alias("__last"))
+    earlier = Window.partitionBy(source).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.select(source, part).distinct().join(last, [source, "__part"], "left").select(source, "__part", F.last("__last", True).over(earlier).alias("__carried"))
+    both = both.join(carried, [source, "__part"], "left").withColumn("__at", F.coalesce("__at", "__carried")).drop("__part", "__carried")
     known = F.col("timeline_ms").isNotNull()
     return both.withColumn("segment", F.when(known, F.col("__at.segment"))).withColumn("in_segment_ms", F.when(known, F.col("timeline_ms") - F.col("__at.__origin"))).drop("__row", "__at")
 

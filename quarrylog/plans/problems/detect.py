@@ -1,15 +1,17 @@
-"""Batch recognition: parallel parse and selection, then one fold a source over the few lines that matter."""
+"""Batch recognition: parallel parse and selection, then folds of the few lines that matter, in stretches of a source."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.storagelevel import StorageLevel
 
 from quarrylog.functions.parsing import timeline_ms
 from quarrylog.operators.timeline import segments_of
 
-from . import gate
-from .fold import Fold, Line
+from . import gate, parts
+from .fold import MAX_DEATHS, Line
 
 #: Lines after an opener that may belong to it, and the runs of lines that are kept or left together.
 HORIZON = 520
@@ -57,38 +59,55 @@ def _line(r: dict) -> Line:
     return Line(line=r["line_no"], tag=r["tag"], message=r["message"], level=r["level"], pid=r["pid"], raw_len=r["raw_len"] or 0, provenance=r["provenance"], buffer=r["buffer"], packed_ts=r["packed_ts"], segment=r["segment"], ms=r["in_segment_ms"])
 
 
-_FACT = ("line", "role", "priority", "code", "rule", "format", "provenance")
-
-
 def event_rows(source_id: str, events, first: int = 0) -> list[tuple]:
     return [
-        (source_id, first + i, e.kind, e.start, e.end, e.anchor, e.pid, e.process, e.quality, e.fingerprint, e.subject, e.evidence, e.outcome, e.boundary, e.anchor_ts, e.source, e.instance, e.facts_total, [{k: getattr(f, k) for k in _FACT} for f in e.facts])
+        (source_id, first + i, e.kind, e.start, e.end, e.anchor, e.pid, e.process, e.quality, e.fingerprint, e.subject, e.evidence, e.outcome, e.boundary, e.anchor_ts, e.source, e.instance, e.facts_total, [{k: getattr(f, k) for k in parts.FACT} for f in e.facts])
         for i, e in enumerate(events)
     ]
 
 
-def _fold(batches):
-    """Lines come sorted by source and line; a fold is closed when the source changes."""
-    import pyarrow as pa
-
-    fact = pa.struct([(k, pa.int64() if k == "line" else pa.int32() if k == "priority" else pa.string()) for k in _FACT])
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(fact)]
-    names = ["source_id", "event_no", "kind", "start", "end", "anchor", "pid", "process", "quality", "fingerprint", "subject", "evidence", "outcome", "boundary", "anchor_ts", "origin", "instance", "facts_total", "facts"]
-
-    def table(rows):
-        cols = list(zip(*rows, strict=True)) or [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    source, fold = None, None
-    for batch in batches:
-        for r in batch.to_pylist():
-            if fold is None or r["source_id"] != source:
-                if fold is not None:
-                    yield table(event_rows(source, fold.finish()))
-                source, fold = r["source_id"], Fold()
-            fold.observe(_line(r))
-    if fold is not None:
-        yield table(event_rows(source, fold.finish()))
+def _numbered(rows: DataFrame, line: str, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in its source, counted from 1 within stretches of lines and over their totals."""
+    rows = rows.withColumn("__part", F.floor(F.col(line) / parts.LINES))
+    totals = rows.groupBy("source_id", "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("source_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("source_id", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("source_id", "__part").orderBy(*order))
+    return rows.withColumn(name, inside).join(totals, ["source_id", "__part"]).withColumn(name, (F.col(name) + F.col("__before")).cast("int")).drop("__part", "__before")
+
+
+def _steps(lines: DataFrame) -> DataFrame:
+    """What lines say of reports and processes, read in stretches; sources whose stretches don't fit together in one."""
+    run = lambda df, size: df.repartition("source_id", "part").sortWithinPartitions("source_id", "part", "line_no").mapInArrow(parts.stretches(_COLUMNS, size), parts.STEPS)
+    part = F.floor(F.col("line_no") / parts.LINES)
+    warm = F.col("line_no") % parts.LINES >= parts.LINES - parts.WARM
+    found = run(lines.withColumn("part", F.explode(F.when(warm, F.array(part, part + 1)).otherwise(F.array(part)))), parts.LINES).persist(StorageLevel.DISK_ONLY)
+    edges = found.where(F.col("what") == parts.PART).repartition("source_id").sortWithinPartitions("source_id", "part").mapInArrow(parts.stitch, parts.STEPS)
+    steps = found.where(F.col("what") != parts.PART).unionByName(edges.where(F.col("what") != parts.DIFFERS))
+    again = edges.where(F.col("what") == parts.DIFFERS).select("source_id")
+    names = [r["source_id"] for r in again.collect()]
+    if not names:
+        return steps
+    again = F.broadcast(lines.sparkSession.createDataFrame([(n,) for n in names], "source_id string"))
+    whole = run(lines.join(again, "source_id", "left_semi").withColumn("part", F.lit(0).cast("long")), None).persist(StorageLevel.DISK_ONLY)
+    ends = whole.where(F.col("what") == parts.PART).repartition("source_id").mapInArrow(parts.stitch, parts.STEPS)
+    return steps.join(again, "source_id", "left_anti").unionByName(whole.where(F.col("what") != parts.PART)).unionByName(ends)
+
+
+def _found(steps: DataFrame) -> DataFrame:
+    """Events of steps, numbered in the order of their ends."""
+    life = steps.where((F.col("what") == parts.START) | ((F.col("what") == parts.DEATH) & (F.col("uid") == 1)))
+    life = life.repartition("source_id", "pid").sortWithinPartitions("source_id", "pid", "line", "seq").mapInArrow(parts.deaths, parts.STEPS)
+    again = life.repartition("source_id").sortWithinPartitions("source_id", "line", "seq").mapInArrow(parts.restarts(MAX_DEATHS), parts.STEPS)
+    low = F.min("low").over(Window.partitionBy("source_id", "pid").orderBy(F.desc("line"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    every = steps.unionByName(again).withColumn("low", low).sortWithinPartitions("source_id", "pid", "line", "seq")
+    found = every.mapInArrow(parts.processes, parts.FOUND).persist(StorageLevel.DISK_ONLY)
+    events = _numbered(found.where("kind is not null"), "end", ["end", "start", "kind", "at", "no"], "event_no")
+    begun = _numbered(found.where("kind is null").select("source_id", "at", "no"), "at", ["at", "no"], "instance")
+    begun = begun.select("source_id", F.col("at").alias("of_line"), F.col("no").alias("of_seq"), "instance")
+    events = events.join(begun, ["source_id", "of_line", "of_seq"], "left")
+    names = [f.name for f in StructType.fromDDL(EVENTS)]
+    return events.withColumn("instance", F.coalesce("instance", F.lit(0))).withColumn("event_no", F.col("event_no") - 1).select(*names)
 
 
 def problems(rows: DataFrame) -> DataFrame:
@@ -101,4 +120,4 @@ def problems(rows: DataFrame) -> DataFrame:
     if timed:
         lines = segments_of(lines, thin)
     lines = lines.select(F.col("source_id").cast("string").alias("source_id"), *_COLUMNS)
-    return lines.repartition("source_id").sortWithinPartitions("source_id", "line_no").mapInArrow(_fold, EVENTS)
+    return _found(_steps(lines))

@@ -8,6 +8,7 @@ object is the state of the streaming operator.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import asdict, dataclass, field, replace
 from typing import NamedTuple
 
@@ -21,6 +22,12 @@ MAX_FRAMES, MAX_FACTS, MAX_DEATHS, ATTACH_LINES, CLOCK_MS = 3, 8, 64, 4096, 60_0
 #: Lines after which nothing can change an event: what it is paired with, what is attached to it, and what those depend on.
 HOLD_LINES = 4 * ATTACH_LINES + 512
 PAIR_LINES = {R.JAVA_CRASH: 512, R.JAVA_OOM: 512, R.ANR: 512, R.NATIVE_CRASH: 4096}
+#: Tags that each recognizer looks at; to others a line only counts as one that doesn't belong.
+_LIFE_TAGS = frozenset(("ActivityManager", "am_proc_start", "am_proc_died", "am_kill", "Zygote"))
+_KILL_TAGS = frozenset(("lmkd", "lowmemorykiller", "kernel", ""))
+_JAVA_TAGS = frozenset(("AndroidRuntime", "art", "dalvikvm", "am_crash", ""))
+_ANR_TAGS = frozenset(("ActivityManager", "am_anr", ""))
+_NATIVE_TAGS = frozenset(("libc", "DEBUG", "debuggerd", ""))
 
 
 class Fact(NamedTuple):
@@ -107,6 +114,28 @@ def _outcome(facts: list[Fact]) -> list[Fact]:
     return [f._replace(priority=1) for f in facts]
 
 
+def restart(d: dict, x: Line) -> dict:
+    """The event of a process that died and began again; `x` is the line of its start."""
+    format = "EventLogShapedText" if x.tag == "am_proc_start" else "AospText"
+    facts = [d["fact"], *x.facts("ProcessRestartV1", format, "Primary", "ProcessIdentity"), *(f._replace(priority=2) for f in x.facts("ProcessRestartV1", format, "Restart"))]
+    records = "EventLogShapedText" in (format, d["fact"].format)
+    return {"kind": R.PROCESS_RESTART, "start": d["line"], "end": x.line, "anchor": x.line, "pid": d["pid"], "process": d["name"], "quality": R.STRUCTURED_FIELDS, "tokens": [(R.RELATION, "start-after-death")], "source": "direct", "evidence": R.PRIMARY | R.CORRELATED | R.MULTILINE | (R.STRUCTURED if records else 0), "outcome": R.DEATH_OBSERVED | R.START_AFTER_DEATH, "anchor_ts": x.packed_ts or 0, "segment": x.segment, "ms": x.ms, "subject": "start-after-death", "facts": facts}
+
+
+class Near:
+    """Events by where they begin, so that those near a line are found without going through all."""
+
+    def __init__(self, events, reach: int):
+        pick = lambda short: sorted(((e.start, k) for k, e in enumerate(events) if (e.end - e.start <= reach) is short))
+        self.short, self.long, self.reach = pick(True), [k for _, k in pick(False)], reach
+
+    def of(self, start: int, end: int):
+        """Places of the events that may be within reach of these lines."""
+        lo = bisect_left(self.short, (start - 2 * self.reach, -1))
+        hi = bisect_left(self.short, (end + self.reach + 1, -1))
+        return [k for _, k in self.short[lo:hi]] + self.long
+
+
 class Pending:
     """A multi-line candidate: where it began, what it has, and how long it may go on."""
 
@@ -173,18 +202,38 @@ class Fold:
     def observe(self, x: Line) -> None:
         if x.line <= self.at:
             raise ValueError("lines must come in order")
+        self.enter(x)
+        self.take(x)
+
+    def enter(self, x: Line) -> None:
+        """What a line closes by coming."""
         self.at = x.line
         self._expire(x)
+
+    def take(self, x: Line) -> None:
         if x.raw_len > R.MAX_LINE:
             for p in (*self.java, *self.anr):
                 p.unmatched += 1
             return
-        self._lifecycle(x)
-        if not self._kernel(x):
+        tag = x.tag
+        if tag in _LIFE_TAGS:
+            self._lifecycle(x)
+        elif tag in _KILL_TAGS and not self._kernel(x):
             self._lmk(x)
-        self._java(x)
-        self._anr(x)
-        self._native(x)
+        if tag in _JAVA_TAGS:
+            self._java(x)
+        elif self.java:
+            for p in self.java:
+                p.unmatched += 1
+            self._exhausted()
+        if tag in _ANR_TAGS:
+            self._anr(x)
+        elif self.anr:
+            for p in self.anr:
+                p.unmatched += 1
+            self._anr_exhausted()
+        if tag in _NATIVE_TAGS or self.tomb is not None:
+            self._native(x)
 
     def _expire(self, x: Line):
         for held, lines, size, close in ((self.java, JAVA_LINES, JAVA_BYTES, self._close_java), (self.anr, ANR_LINES, ANR_BYTES, self._close_anr)):
@@ -200,6 +249,10 @@ class Fold:
 
     def finish(self) -> list[Event]:
         """Closes what is open; the events that `settle` hasn't given out."""
+        self._close_all()
+        return self._give(None)
+
+    def _close_all(self) -> None:
         for held, close in ((self.java, self._close_java), (self.anr, self._close_anr)):
             for p in sorted(held, key=lambda p: p.start):
                 close(p, R.BY_INPUT)
@@ -207,7 +260,6 @@ class Fold:
         if self.tomb is not None:
             self._close_tomb(R.BY_INPUT)
         self.kernel.clear()
-        return self._give(None)
 
     def settle(self) -> list[Event]:
         """Events that lines to come can't change any more; then forgets what only they needed. The rest waits for `finish`."""
@@ -500,10 +552,13 @@ class Fold:
         s = R.fatal_signal("signal " + x.message[len("Fatal signal ") :])
         if not pid or s is None or (s["pid"] and s["pid"] != pid):
             return
-        process = s["process"] or (self.active.get(pid) or {}).get("name")
+        process = s["process"] or self._named(pid)
         facts = x.facts("NativeLibcSignalV1", "AospText", "Primary", "Signal", *(["ProcessIdentity"] if s["process"] else []))
         self.emit(kind=R.NATIVE_CRASH, start=x.line, end=x.line, anchor=x.line, pid=pid, process=process, quality=R.SIGNAL_ONLY, tokens=[(R.SIGNAL, s["signal"]), (R.FIELD, s["code"])], source="signal", anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=s["signal"], facts=facts)
 
+    def _named(self, pid: int) -> str | None:
+        return (self.active.get(pid) or {}).get("name")
+
     # ---------------------------------------------------------------- memory killers
 
     def _lmk(self, x: Line):
@@ -578,16 +633,15 @@ class Fold:
             if r is None or x.provenance == "unknown" or x.buffer != "events":
                 return
             if x.tag == "am_kill":
-                self.observed.append({"what": "kill", "fact": x.facts("AmKillRequestV1", "EventLogShapedText", "KillRequest")[0], "line": x.line, "pid": r["pid"], "process": r["name"], "segment": x.segment, "ms": x.ms})
+                self._kill({"what": "kill", "fact": x.facts("AmKillRequestV1", "EventLogShapedText", "KillRequest")[0], "line": x.line, "pid": r["pid"], "process": r["name"], "segment": x.segment, "ms": x.ms})
             elif x.tag == "am_proc_died":
                 self._death(x, r["pid"], r["name"], r["user"], independent=x.known("events"))
             elif x.known("events"):
                 if r["user"] is None or r["uid"] // 100_000 == r["user"]:
                     self._start(x, r["pid"], r["name"], r["uid"], r["user"])
         elif x.tag == "Zygote" and (g := re.fullmatch(r"Process ([1-9][0-9]{0,9}) exited due to signal ([1-9][0-9]?) \(([A-Za-z0-9_-]+)\)", m)):
-            who = self.active.get(int(g[1]))
-            if who and who.get("uid") is not None and int(g[2]) <= 64:
-                self.emit(kind=R.SIGNAL_EXIT, start=x.line, end=x.line, anchor=x.line, pid=int(g[1]), process=who["name"], quality=R.STRUCTURED_FIELDS, tokens=[(R.RELATION, "signal-exit"), (R.FIELD, bytes([int(g[2])]))], source="direct", outcome=R.DEATH_OBSERVED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=g[3], facts=x.facts("SignalExitV1", "AospText", "Primary", "ProcessIdentity", "Signal") + _outcome(x.facts("SignalExitV1", "AospText", "Death")))
+            if int(g[2]) <= 64 and (name := self._named(int(g[1]))):
+                self.emit(kind=R.SIGNAL_EXIT, start=x.line, end=x.line, anchor=x.line, pid=int(g[1]), process=name, quality=R.STRUCTURED_FIELDS, tokens=[(R.RELATION, "signal-exit"), (R.FIELD, bytes([int(g[2])]))], source="direct", outcome=R.DEATH_OBSERVED, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject=g[3], facts=x.facts("SignalExitV1", "AospText", "Primary", "ProcessIdentity", "Signal") + _outcome(x.facts("SignalExitV1", "AospText", "Death")))
 
     def _start(self, x: Line, pid: int, name: str, uid: int, user: int | None):
         self.active[pid] = {"name": name, "uid": uid, "user": user}
@@ -596,12 +650,12 @@ class Fold:
         for d in self.deaths:
             if d["name"] == name and d["uid"] == uid and (user is None or d["user"] is None or d["user"] == user):
                 self.deaths.remove(d)
-                format = "EventLogShapedText" if x.tag == "am_proc_start" else "AospText"
-                facts = [d["fact"], *x.facts("ProcessRestartV1", format, "Primary", "ProcessIdentity"), *(f._replace(priority=2) for f in x.facts("ProcessRestartV1", format, "Restart"))]
-                records = "EventLogShapedText" in (format, d["fact"].format)
-                self.emit(kind=R.PROCESS_RESTART, start=d["line"], end=x.line, anchor=x.line, pid=d["pid"], process=name, quality=R.STRUCTURED_FIELDS, tokens=[(R.RELATION, "start-after-death")], source="direct", evidence=R.PRIMARY | R.CORRELATED | R.MULTILINE | (R.STRUCTURED if records else 0), outcome=R.DEATH_OBSERVED | R.START_AFTER_DEATH, anchor_ts=x.packed_ts or 0, segment=x.segment, ms=x.ms, subject="start-after-death", facts=facts, instance=d["instance"])
+                self.emit(**restart(d, x), instance=d["instance"])
                 break
 
+    def _kill(self, o: dict):
+        self.observed.append(o)
+
     def _death(self, x: Line, pid: int, name: str, user: int | None, independent: bool = True):
         """A record that is only inferred to be one may support a fault, but ends no process."""
         format = "EventLogShapedText" if x.tag == "am_proc_died" else "AospText"
@@ -639,17 +693,19 @@ class Fold:
             starts.setdefault(pid, []).append(line)
         merged: set[int] = set()
         for (kind, pid, _), members in by_key.items():
-            if len(members) < 2:
+            if len({self.events[i].source for i in members}) < 2:
                 continue
             near: dict[int, int | None] = {}
+            index, begun = Near([self.events[i] for i in members], PAIR_LINES[kind]), sorted(starts.get(pid, ()))
             for i in members:
                 a, found = self.events[i], []
-                for j in members:
-                    b = self.events[j]
+                for k in index.of(a.start, a.end):
+                    j, b = members[k], self.events[members[k]]
                     if i == j or a.source == b.source or (a.subject and b.subject and a.subject != b.subject) or not self._clock(a, b):
                         continue
                     gap = max(0, max(a.start, b.start) - min(a.end, b.end))
-                    if gap > PAIR_LINES[kind] or any(min(a.end, b.end) < s < max(a.start, b.start) for s in starts.get(pid, ())):
+                    after = bisect_right(begun, min(a.end, b.end))
+                    if gap > PAIR_LINES[kind] or (after < len(begun) and begun[after] < max(a.start, b.start)):
                         continue
                     found.append((gap, j))
                 found.sort()
@@ -677,11 +733,17 @@ class Fold:
     def _attach(self):
         """Deaths at or after a fault and kill requests around it, within 4096 lines, each to its one nearest."""
         by_key: dict = {}
-        for e in self.events:
+        for e in self.events if self.observed else ():
             by_key.setdefault((e.pid, e.process), []).append(e)
+        near: dict = {}
         for o in self.observed:
-            found = []
-            for e in by_key.get((o["pid"], o["process"]), ()):
+            found, key = [], (o["pid"], o["process"])
+            if key not in by_key:
+                continue
+            if key not in near:
+                near[key] = Near(by_key[key], ATTACH_LINES)
+            for k in near[key].of(o["line"], o["line"]):
+                e = by_key[key][k]
                 if not self._clock(e, o):
                     continue
                 if o["what"] == "death":

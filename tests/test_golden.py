@@ -297,6 +297,45 @@ def test_events_that_settle_are_those_of_a_whole_run(seed):
     assert early > len(want) / 2 and most < 2000
 
 
+@pytest.mark.parametrize("size, warm", [(8192, 2048), (128, 64), (64, 0)])
+def test_stretches_of_a_source_give_what_a_whole_run_gives(spark, monkeypatch, size, warm):
+    """Reports that reach over the ends of stretches, processes of many stretches, and stretches that don't fit together."""
+    from quarrylog.plans.problems import detect, parts
+
+    monkeypatch.setattr(parts, "LINES", size)
+    monkeypatch.setattr(parts, "WARM", warm)
+    logs = {f"s{seed}": long_log(random.Random(seed), 40_000) for seed in (1, 2)}
+    fields = ("line", "tag", "message", "level", "pid", "raw_len", "provenance", "buffer", "packed_ts", "segment", "ms")
+    rows = [(name, *(getattr(x, k) for k in fields)) for name, lines in logs.items() for x in lines]
+    df = spark.createDataFrame(rows, "source_id string, line_no long, tag string, message string, level string, pid string, raw_len long, provenance string, buffer string, packed_ts long, segment long, in_segment_ms long")
+    got = sorted((tuple(r)[:-1], [tuple(f) for f in r.facts]) for r in detect.problems(df).collect())
+    want = []
+    for name, lines in logs.items():
+        f = Fold()
+        for x in lines:
+            f.observe(x)
+        want += [(r[:-1], [tuple(v.values()) for v in r[-1]]) for r in event_rows(name, f.finish())]
+    assert got == sorted(want) and len(want) > 100
+    # no task reads a whole source, but where stretches don't fit together
+    found = detect._steps(df).where(f"what <> {parts.PART}").groupBy("source_id", "part").count().count()
+    assert found > 8 if size == 8192 else found >= 2
+
+
+def test_long_restarts_and_pairs_are_not_gone_through_for_each_other():
+    """Ten thousand faults of one process, with records beside them: each looks at its neighbours only."""
+    import time
+
+    f, began = Fold(), time.process_time()
+    for k in range(10_000):
+        at = k * 600
+        for j, (tag, m) in enumerate((("AndroidRuntime", "FATAL EXCEPTION: main"), ("AndroidRuntime", "Process: a.b, PID: 7"), ("AndroidRuntime", "a.b.FooException: x"))):
+            f.observe(Line(at + j + 1, tag, m, "E", "7", 60, "known", "main"))
+        f.observe(Line(at + 9, "am_crash", "[0,7,a.b,0,a.b.FooException,msg,Foo.java,12]", "I", "1", 60, "known", "events"))
+    got = f.finish()
+    assert len(got) == 10_000 and all(e.end - e.start == 8 for e in got)
+    assert time.process_time() - began < 30  # minutes where each is held against all
+
+
 def test_a_source_takes_lines_in_any_order():
     from quarrylog.streaming.capture import Source
 
