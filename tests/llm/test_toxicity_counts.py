@@ -1,5 +1,9 @@
+import math
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quarrylog.llm import toxicity
 
 
@@ -97,3 +101,60 @@ def test_grams_of_words_and_the_label_filter(spark):
     for bits, most in ((20, 105), (9, 2000)):  # a table that labels fill lets more pass, and loses none
         got = [r.doc_id for r in docs.mapInArrow(toxicity._maybe_labelled(spark, labelled, bits), docs.schema).collect()]
         assert set(ids[:100]) <= set(got) and len(got) <= most
+
+
+def test_no_gram_that_occurs_twice_is_left_out(spark):
+    """More of them than the 400,000 that were once kept at most."""
+    rnd = random.Random(12)
+    bad = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(80_000)})
+    docs = [(i, "calm river stone " + (" ".join(rnd.sample(bad, len(bad))) if i % 2 else f"n{i}")) for i in range(24)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    scorer = toxicity.fit(spark, frame, labels)
+    grams = {g for w in [*bad, "calm", "river", "stone"] for g in toxicity.word_grams(w)}
+    assert len(grams) > 400_000 and grams <= {g for g in grams if scorer.model.grams.get(toxicity._keys(*key(g), toxicity.ORDER))[1][0]}
+
+
+def key(gram):
+    codes, n = toxicity._codes([gram])
+    return codes, n - 1, n
+
+
+def test_all_labelled_rows_of_their_third_are_fitted_on(spark):
+    """More of them than the 3,000 and 6,000 that once were; weights equal a fit over all features at once."""
+    rnd = random.Random(13)
+    plain, bad = (["".join(rnd.choice(of) for _ in range(5)) for _ in range(60)] for of in ("abcdefghij", "ghijklmnop"))
+    docs = [(i, " ".join([rnd.choice(plain), rnd.choice(bad if i % 3 == 0 and i % 7 else plain), *rnd.sample(plain, 2)]) + f" {i}") for i in range(36_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    scorer = toxicity.fit(spark, frame, labels)
+    part = frame.where(F.pmod(F.xxhash64(F.unhex(F.sha2("text", 256))), F.lit(3)) == 0).collect()
+    y = np.array([r.doc_id % 3 == 0 for r in part], float)
+    assert y.sum() > 3000 and (1 - y).sum() > 6000
+    x = np.column_stack([np.ones(len(y)), scorer.features([r.text for r in part])])
+    shares, have = (24_000, 12_000), ((1 - y).sum(), y.sum())
+    weight = np.where(y == 1, shares[1] / have[1], shares[0] / have[0]) * len(y) / 36_000
+    want = toxicity.logistic(lambda w: toxicity._slopes(x, y, weight, w), 4)
+    assert np.allclose(scorer.weights, want, rtol=1e-6, atol=1e-8)
+
+
+def test_log_ratios_by_joins_equal_the_models(spark):
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcé🙂") for _ in range(rnd.randint(1, 9))) for _ in range(150)]
+    grams = {}
+    for w in words:
+        n = (rnd.choice([0, 1, 1, 2, 3, 9]), rnd.choice([0, 0, 1, 2, 5]))
+        for g in toxicity.word_grams(w):
+            grams[g] = tuple(a + b for a, b in zip(grams.get(g, (0, 0)), n, strict=True))
+    table = spark.createDataFrame([(g, *n) for g, n in grams.items()], "gram string, n0 long, n1 long")
+    stage = toxicity.Stage(spark, "test")
+    model, found = toxicity._model(stage, table, None), toxicity._counts(stage, table, None)
+    context = lambda h: math.log(math.prod(max(r / t, 1e-15) ** s if t else 1.0 for t, r, s in zip(model.contexts[h][:2], model.contexts[h][2:], (-1, 1), strict=True)))
+    got = {(r.kind, r.s): r.v for r in toxicity._log_ratios(found).collect()}
+    want = {(0, g): model.ratio(g) for g in model.kept} | {(1, h): context(h) for h in model.contexts}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    seen = toxicity._evidence(found)
+    tests = [*words, "b", "zzz", "cab" * 9000, "🙂é"]
+    for w, v in zip(tests, seen.words(tests), strict=True):
+        total = sum(want.get((0, g), want.get((1, g[:-1]), 0.0)) for g in toxicity.word_grams(w))
+        assert abs(v - total) < 1e-9 * max(1, len(w)) and v == seen.word(w)
