@@ -20,7 +20,9 @@ from quarrylog.llm.common import free_name, remove, shared_dir, swept
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.3 or more; a quarter of the labels is held out from the models, as in the query."""
+    """Drops documents that score 0.3 or more; a quarter of the labels is held out from the models, as in the query.
+
+    All grams that occur twice in a class and all other labelled rows are used, with no cap on either."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
     scorer = toxicity.fit(spark, docs, labels)
     return toxicity.reject_toxic(spark, docs, scorer)
