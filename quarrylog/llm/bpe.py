@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ans import plain
-from .common import text_slices
+from .common import remembered, text_slices
 
 #: Pre-tokens that a worker remembers, in two generations; pairs of tokens whose compatibility it remembers.
 CACHE = 120_000
@@ -235,7 +235,7 @@ class WordTokenizer:
         return " ".join(self.text_of[i] for i in ids if i in self.text_of)
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[str, WordTokenizer] = remembered({})
 
 
 def tokenizer(path: str) -> WordTokenizer:

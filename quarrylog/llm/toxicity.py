@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, mix64, release, text_slices
+from .common import Stage, forget, mix64, release, text_slices
 
 ORDER = 6
 #: Discounts of grams that occur once, twice and more often, where counts of counts are too few to estimate them.
@@ -319,6 +319,7 @@ def _words(batches):
     """A task's words, with the texts of each class that have them (label null: none); a word counts once a text."""
     import pyarrow as pa
 
+    forget()
     counts, plain = [Counter(), Counter()], set()
 
     def flush():
@@ -439,6 +440,7 @@ def _features(model):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         scorer = Scorer(model.value, None)
         for batch in batches:
             for part in text_slices(batch, limit=SCORED_BYTES):
@@ -496,6 +498,7 @@ def _score(scorer):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         s = scorer.value
         for batch in batches:
             for part in text_slices(batch, limit=SCORED_BYTES):
@@ -516,6 +519,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, scorer: Scorer, threshold
     def run(batches):
         import pyarrow as pa
 
+        forget()
         s = shared.value
         for batch in batches:
             k = batch.schema.get_field_index("text")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarrylog.llm import toxicity
+from quarrylog.llm import bpe, common, toxicity
 
 
 def test_expressions_outside_the_sample_are_known(spark):
@@ -158,3 +158,24 @@ def test_log_ratios_by_joins_equal_the_models(spark):
     for w, v in zip(tests, seen.words(tests), strict=True):
         total = sum(want.get((0, g), want.get((1, g[:-1]), 0.0)) for g in toxicity.word_grams(w))
         assert abs(v - total) < 1e-9 * max(1, len(w)) and v == seen.word(w)
+
+
+def test_scoring_gives_back_what_other_operators_remember(spark):
+    """In a worker that ran another operator before, as in a session that runs the pipeline again."""
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    scorer = toxicity.Scorer(toxicity.Evidence(toxicity.ORDER, {"^a$": 1.0}, {}), [0.0, 1.0, 0.0, 0.0])
+
+    def run(batches):
+        common.powers(10)
+        bpe._tokenizers["x"] = None
+        for batch in toxicity._score(Shared(scorer))(batches):
+            assert not bpe._tokenizers and not common._powers
+            yield batch
+        assert len(common.powers(10)[0]) == 10
+
+    assert docs.mapInArrow(run, "doc_id long, score double").count() == 1
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
